@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -104,12 +103,12 @@ def load_vocabulary(model_file: str) -> Vocabulary:
 
 
 def stops_of(scores: dict[str, float]) -> str:
-    """Punctuation that no piece holds after another character than such punctuation or a mark.
+    """Signs that no piece holds after another character than such signs or a mark.
 
     No merge joins it to what stands before, so a pre-token ends there.
     """
     pairs = {p[i : i + 2] for p in scores for i in range(len(p) - 1)}
-    stops = set(string.punctuation)
+    stops = {c for pair in pairs for c in pair if not c.isalpha() and c not in f"{MARK}\n"}
     while held := {b for a, b in pairs if b in stops and a not in stops and a != MARK}:
         stops -= held
     return "".join(sorted(stops))

@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, token_counts
-from .common import table
+from pyspark.sql import functions as F
+
+from . import byte_bpe, decontaminate, language_id, pseudonyms, token_counts
+from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +21,35 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(documents, vocabulary).drop("text")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    documents = documents.withColumn("held_out", held_out("doc_id", 3, 1))
+    prototypes = language_id.learn(documents.where("not held_out"))
+    return language_id.identify(documents.drop("lang"), prototypes).drop("text")
+
+
+#: A key for tests and comparisons. A real run passes its own secret key to pseudonymise().
+SAMPLE_KEY = b"sample key, not a secret"
+
+
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(documents, SAMPLE_KEY)
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminate(documents, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,6 +58,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op3_language_id": op3_language_id,
+    "op4_pseudonyms": op4_pseudonyms,
+    "op8_decontaminate": op8_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
 }
 

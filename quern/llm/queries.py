@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, pseudonyms, token_counts
+from . import byte_bpe, decontaminate, language_id, pseudonyms, quality, token_counts, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,28 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(documents, SAMPLE_KEY)
 
 
+def _with_labels(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Texts and labels of the rows that may be learned from."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", label).where(~held_out("doc_id", 5, 0))
+    return documents.join(labels, "doc_id").select("text", label)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn_characters(documents)
+    scorer = toxicity.learn_words(_with_labels(spark, sf_dir, "toxic"), model)
+    scored = toxicity.with_toxicity(documents, scorer).drop("text")
+    return scored.withColumn("held_out", held_out("doc_id", 5, 0))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.learn(_with_labels(spark, sf_dir, "quality"))
+    scored = quality.with_quality(documents, rules).drop("text")
+    return scored.withColumn("held_out", held_out("doc_id", 5, 0))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(documents, table(spark, sf_dir, "benchmark"))
@@ -60,6 +82,8 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op3_language_id": op3_language_id,
     "op4_pseudonyms": op4_pseudonyms,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
 }

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import labelled_sample, without
 
 #: Labelled rows that the rules are fitted on at most; chosen by a hash of the text, the same on every run.
 LABELLED = 20_000
@@ -127,14 +127,13 @@ def fit(values: np.ndarray, labels: np.ndarray, names: list[str]) -> Rules:
     return Rules(round(float(w0), 6), tuple(kept))
 
 
-def learn(labelled: DataFrame, text: str = "text", label: str = "quality", most: int = LABELLED) -> Rules:
+def learn(
+    documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = LABELLED,
+) -> Rules:
     """Rules from about `most` labelled rows at most; only their statistics reach the driver."""
-    rows = labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
-    n = rows.count()
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64(F.coalesce("t", F.lit(""))), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    rows = labelled_sample(documents.select(key, F.col(text).alias("t")), labels, key, label, most)
     told = statistics(F.col("t"))
-    found = rows.select("y", *[c.cast("double").alias(n) for n, c in told.items()]).toPandas()
+    found = rows.select(F.col(label).alias("y"), *[c.cast("double").alias(n) for n, c in told.items()]).toPandas()
     found = found.sort_values(list(found.columns), kind="stable")
     return fit(found[list(told)].to_numpy(np.float64), found["y"].to_numpy(np.float64), list(told))
 

@@ -37,24 +37,22 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(documents, SAMPLE_KEY)
 
 
-def _with_labels(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """Texts and labels of the rows that may be learned from."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", label).where(~held_out("doc_id", 5, 0))
-    return documents.join(labels, "doc_id").select("text", label)
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learned from."""
+    return table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn_characters(documents)
-    scorer = toxicity.learn_words(_with_labels(spark, sf_dir, "toxic"), model)
+    scorer = toxicity.learn_words(documents, _labels(spark, sf_dir), model)
     scored = toxicity.with_toxicity(documents, scorer).drop("text")
     return scored.withColumn("held_out", held_out("doc_id", 5, 0))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rules = quality.learn(_with_labels(spark, sf_dir, "quality"))
+    rules = quality.learn(documents, _labels(spark, sf_dir))
     scored = quality.with_quality(documents, rules).drop("text")
     return scored.withColumn("held_out", held_out("doc_id", 5, 0))
 

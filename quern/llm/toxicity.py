@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, hash64, without
+from .common import Memo, hash64, labelled_sample, without
 
 #: Letters that signs stand for in disguised words. Fixed values.
 LOOKS = {
@@ -140,14 +140,38 @@ def spaced(words: list[str]) -> list[str]:
     return out
 
 
-def text_features(text: str, memo: Memo) -> set[str]:
+def text_words(text: str) -> set[str]:
+    """Distinct words, and the stretches of spaced letters."""
     words = words_of(text)
     distinct = set(words)
-    found = set().union(*map(memo.__getitem__, distinct)) if distinct else set()
     if sum(map((1).__eq__, map(len, distinct))) > 1:
-        for w in spaced(words):
-            found |= memo[w]
-    return found
+        distinct.update(spaced(words))
+    return distinct
+
+
+def evidence(text: str, memo: Memo) -> tuple[float, float, float]:
+    """Of the telling words of a text: the largest log odds, the second largest, and the log of their number.
+
+    memo: gives the telling reading of a word and its log odds, or None.
+    """
+    found = dict(filter(None, map(memo.__getitem__, text_words(text))))
+    if not found:
+        return 0.0, 0.0, 0.0
+    odds = sorted(found.values(), reverse=True)
+    return odds[0], odds[1] if len(odds) > 1 else 0.0, math.log1p(len(odds))
+
+
+def telling(model: CharacterModel, weights: dict[str, float]):
+    """The function of a word that evidence() needs."""
+
+    def told(word: str) -> tuple[str, float] | None:
+        found = [(weights[f], f) for f in features_of(readings(word, model)) if f in weights]
+        if not found:
+            return None
+        odds, feature = max(found)
+        return feature.rstrip("-"), odds
+
+    return told
 
 
 def learn_characters(df: DataFrame, text: str = "text") -> CharacterModel:
@@ -172,44 +196,48 @@ def learn_characters(df: DataFrame, text: str = "text") -> CharacterModel:
 class TrigramCounts:
     """Counts letter trigrams of lower-cased texts, with EDGE for every stretch of other signs."""
 
-    def __init__(self, letters: int = 160, piece: int = 1 << 18):
+    def __init__(self, letters: int = 96, piece: int = 1 << 20):
         self.piece, self.letters = piece, letters
         self.small = np.full(0x110000, -1, np.int32)  # -1: not met yet
         self.points = [0]
         self.dense = np.zeros(letters**3, np.int64)
         self.rest: dict[tuple[int, int, int], int] = {}
-
-    def _number(self, point: int) -> int:
-        if not chr(point).isalpha():
-            return 0
-        self.points.append(point)
-        return len(self.points) - 1
+        self.held: list[str] = []
+        self.size = 0
 
     def add(self, text: str) -> None:
+        """Texts are gathered until they fill a piece; a long one is cut into pieces."""
         for at in range(0, len(text), self.piece):
-            points = np.frombuffer(text[at : at + self.piece].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+            self.held.append(text[at : at + self.piece])
+            self.size += len(self.held[-1])
+            if self.size >= self.piece:
+                self._count()
+
+    def _count(self) -> None:
+        joined, self.held, self.size = "\n".join(self.held), [], 0
+        points = np.frombuffer(joined.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        found = self.small[points]
+        if len(found) and found.min() < 0:
+            for point in np.unique(points[found < 0]).tolist():
+                self.small[point] = len(self.points) if chr(point).isalpha() else 0
+                if self.small[point]:
+                    self.points.append(point)
             found = self.small[points]
-            if found.min() < 0:
-                for point in np.unique(points[found < 0]).tolist():
-                    self.small[point] = self._number(point)
-                found = self.small[points]
-            found = np.concatenate(([0, 0], found, [0]))
-            a, b, c = found[:-2], found[1:-1], found[2:]
-            kept = (b != 0) | (c != 0)
-            kept &= ~((b == 0) & (a != 0))
-            # at a word's start both places before it are edges
-            a = np.where(b == 0, 0, a)[kept].astype(np.int64)
-            b, c = b[kept].astype(np.int64), c[kept].astype(np.int64)
-            common = (a < self.letters) & (b < self.letters) & (c < self.letters)
-            k = self.letters
-            self.dense += np.bincount((a[common] * k + b[common]) * k + c[common], minlength=k**3) if len(text) > k**3 else 0
-            if len(text) <= k**3:
-                keys, n = np.unique((a[common] * k + b[common]) * k + c[common], return_counts=True)
-                self.dense[keys] += n
-            for key in zip(a[~common].tolist(), b[~common].tolist(), c[~common].tolist()):
+        found = np.concatenate(([0, 0], found, [0])).astype(np.int64)
+        a, b, c = found[:-2], found[1:-1], found[2:]
+        a = np.where(b == 0, 0, a)  # at the start of a word both places before it are edges
+        kept = (b != 0) | (c != 0)
+        k = self.letters
+        common = kept if len(self.points) <= k else kept & (a < k) & (b < k) & (c < k)
+        self.dense += np.bincount(((a * k + b) * k + c)[common], minlength=k**3)
+        if common is not kept:
+            rest = kept & ~common
+            for key in zip(a[rest].tolist(), b[rest].tolist(), c[rest].tolist()):
                 self.rest[key] = self.rest.get(key, 0) + 1
 
     def totals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Code points of the three letters, and counts."""
+        self._count()
         k = self.letters
         keys = np.flatnonzero(self.dense)
         points = np.array(self.points)
@@ -221,11 +249,11 @@ class TrigramCounts:
 
 @dataclass(frozen=True)
 class Scorer:
-    """What scoring needs: the letters' model, log odds of words and stems, and the log odds of the label."""
+    """What scoring needs: the letters' model, log odds of words and stems, and how evidence adds up (bias first)."""
 
     model: CharacterModel
     weights: dict[str, float]
-    prior: float
+    sums: tuple[float, float, float, float]
 
 
 def copies_key(text: str) -> int:
@@ -234,19 +262,30 @@ def copies_key(text: str) -> int:
     return min((hash64(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0) >> 1
 
 
-def learn_words(labelled: DataFrame, model: CharacterModel, text: str = "text", label: str = "toxic", most: int = LABELLED) -> Scorer:
-    """Weights of words and stems from up to about `most` labelled rows, one of each set of near copies.
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic model with a bias in front, by Newton steps."""
+    x = np.column_stack((np.ones(len(x)), x))
+    w = np.zeros(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+    return w
+
 
-    Copies would make every word of a copied text look telling. Counts of a task are added up before the shuffle.
+def learn_words(
+    documents: DataFrame, labels: DataFrame, model: CharacterModel, key: str = "doc_id", text: str = "text", label: str = "toxic",
+    most: int = LABELLED,
+) -> Scorer:
+    """Log odds of words and stems from up to about `most` labelled rows, one of each set of near copies.
+
+    Copies would make every word of a copied text look telling. How evidence adds up is fitted on a third of the rows,
+    which the log odds are not learned from. Counts of a task are added up before the shuffle.
     """
-    rows = labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y")).where("t is not null and y in (0, 1)")
-    n = rows.count()
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    rows = labelled_sample(documents.select(key, F.col(text).alias("t")).where("t is not null"), labels, key, label, most)
 
     @F.pandas_udf("long")
     def keyed(texts: pd.Series) -> pd.Series:
-        return texts.map(copies_key)
+        return texts.map(copies_key).astype("int64")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Memo(lambda w: features_of(readings(w, model)), 1 << 17)
@@ -254,24 +293,36 @@ def learn_words(labelled: DataFrame, model: CharacterModel, text: str = "text",
         for batch in batches:
             for t, y in zip(batch["t"], batch["y"]):
                 counts[""][y] += 1
-                for f in text_features(t, memo):
+                for f in set().union(*map(memo.__getitem__, text_words(t))):
                     counts.setdefault(f, [0, 0])[y] += 1
         yield pd.DataFrame([(f, *x) for f, x in counts.items()], columns=["f", "n0", "n1"])
 
-    single = rows.withColumn("k", keyed("t")).groupBy("k", "y").agg(F.min("t").alias("t")).select("t", "y")
-    sums = single.mapInPandas(counted, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    sums = sums.where("f = '' or n1 >= 5").collect()  # of a bounded sample
+    rows = rows.select("t", F.col(label).alias("y")).withColumn("k", keyed("t"))
+    single = rows.groupBy("k", "y").agg(F.min("t").alias("t")).withColumn("third", F.pmod(F.xxhash64("k"), F.lit(3)))
+    sums = single.where("third > 0").mapInPandas(counted, "f string, n0 long, n1 long")
+    sums = sums.groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    sums = sums.where("f = '' or n1 >= 4").collect()  # of a bounded sample
     all0, all1 = next(((r.n0, r.n1) for r in sums if not r.f), (0, 0))
-    if not all1 or not all0:
-        return Scorer(model, {}, math.log(NO_LABELS / (1 - NO_LABELS)) if not all1 else -math.log(NO_LABELS))
+    prior = (all1 + NO_LABELS) / (all0 + all1 + 1)
     weights = {}
-    for r in sums:
+    for r in sums if all0 and all1 else []:
         ratio = (r.n1 + 0.5) / (all1 + 1) / ((r.n0 + 0.5) / (all0 + 1))
-        expected = (r.n0 + r.n1) * all1 / (all0 + all1)
-        g = 2 * r.n1 * math.log(r.n1 / expected) if r.n1 else 0
+        g = 2 * r.n1 * math.log(r.n1 * (all0 + all1) / ((r.n0 + r.n1) * all1)) if r.n1 else 0
         if r.f and ratio >= LEAST_RATIO and g >= LEAST_G:
             weights[r.f] = math.log(ratio)
-    return Scorer(model, weights, math.log(all1 / all0))
+    if not weights:
+        return Scorer(model, {}, (math.log(prior / (1 - prior)), 0.0, 0.0, 0.0))
+
+    @F.pandas_udf("a double, b double, c double")
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        memo = Memo(telling(model, weights), 1 << 17)
+        for texts in batches:
+            yield pd.DataFrame([evidence(t, memo) for t in texts], columns=["a", "b", "c"])
+
+    rest = single.where("third = 0").select("y", told("t").alias("x")).select("y", "x.*").toPandas()
+    rest = rest.sort_values(list(rest.columns), kind="stable")
+    sums = logistic(rest[["a", "b", "c"]].to_numpy(), rest["y"].to_numpy()) if len(rest) else [math.log(prior / (1 - prior)), 1, 1, 0]
+    return Scorer(model, weights, tuple(round(float(w), 6) for w in sums))
 
 
 def score(text: Column, scorer: Scorer) -> Column:
@@ -279,18 +330,11 @@ def score(text: Column, scorer: Scorer) -> Column:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weights = scorer.weights
-
-        def told(word: str) -> frozenset[str]:
-            # the telling features of a word only: most words have none
-            return frozenset(f for f in features_of(readings(word, scorer.model)) if f in weights)
-
-        memo = Memo(told, 1 << 19)
+        memo = Memo(telling(scorer.model, scorer.weights), 1 << 19)
         for texts in batches:
             out = []
             for t in texts:
-                found = sorted(text_features(t or "", memo))
-                logit = scorer.prior + sum(weights[f] for f in found)
+                logit = sum(w * x for w, x in zip(scorer.sums, (1.0, *evidence(t or "", memo))))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))))
             yield pd.Series(out, dtype="float64")
 

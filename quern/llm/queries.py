@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, pseudonyms, quality, token_counts, toxicity
+from . import byte_bpe, decontaminate, embeddings, language_id, pseudonyms, quality, token_counts, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn_characters(documents)
@@ -80,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op3_language_id": op3_language_id,
     "op4_pseudonyms": op4_pseudonyms,
+    "op5_embeddings": op5_embeddings,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, embeddings, language_id, pseudonyms, quality, token_counts, toxicity
+from . import byte_bpe, decontaminate, embeddings, html_text, language_id, pseudonyms, quality, token_counts, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents, path, public_tokenizers.PATTERN).drop("text")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op3_language_id": op3_language_id,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}

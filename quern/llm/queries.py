@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, embeddings, html_text, language_id, pseudonyms, quality, token_counts, toxicity
+from . import byte_bpe, decontaminate, embeddings, html_text, jaccard_join, language_id, pseudonyms, quality, token_counts, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(documents, vocabulary).drop("text")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = jaccard_join.similar(documents, width=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     documents = documents.withColumn("held_out", held_out("doc_id", 3, 1))
@@ -86,6 +92,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_language_id": op3_language_id,
     "op4_pseudonyms": op4_pseudonyms,
     "op5_embeddings": op5_embeddings,

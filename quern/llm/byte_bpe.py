@@ -259,24 +259,28 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", text:
     return without(df.withColumn("__text", decoded(F.col(ids))), text).withColumnRenamed("__text", text)
 
 
-def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """df with n_tokens and digests of the ids and of the decoded bytes, without moving ids between processes."""
-    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str | None = None) -> DataFrame:
+    """df with n_tokens and digests of the ids and of the decoded bytes, encoded and decoded in one pass.
+
+    ids: a column for the ids themselves; None leaves them out. Columns of df with these names are replaced.
+    """
+    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
 
     @F.pandas_udf(kind)
-    def digested(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(ranks_path, pattern)
         for texts in batches:
             rows = []
             for t in texts:
-                ids = own.encode(t or "")
+                found = own.encode(t or "")
                 back = hashlib.sha256()
-                for part in decode_stream(ids, own.bytes):
+                for part in decode_stream(found, own.bytes):
                     back.update(part.encode())
-                said = hashlib.sha256(" ".join(map(own.names.__getitem__, ids)).encode()).hexdigest()
-                rows.append((len(ids), said, back.hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    names = ("n_tokens", "ids_sha256", "decoded_sha256")
-    out = df.withColumn("__coded", digested(F.col(text)))
-    return without(out, *names).select("*", "__coded.*").drop("__coded")
+                said = hashlib.sha256(" ".join(map(own.names.__getitem__, found)).encode()).hexdigest()
+                rows.append((len(found), said, back.hexdigest(), *([found] if ids else [])))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])])
+
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    out = without(df.withColumn("__coded", coded(F.col(text))), *names, *([ids] if ids else []))
+    told = [F.col(f"__coded.{n}") for n in names] + ([F.col("__coded.ids").alias(ids)] if ids else [])
+    return out.select("*", *told).drop("__coded")

@@ -295,3 +295,18 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     classes = classes.select(F.col("g").alias("__g"), F.col("n").alias("__n"), F.col("component_id").alias("__c"))
     out = rows.join(classes, ["__g", "__n"], "left").withColumns({"n_shingles": F.col("__n").cast("long"), "component_id": F.when(F.col("__id").isNotNull(), F.coalesce("__c", "__id"))})
     return out.drop("__g", "__n", "__c", "__id")
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """The rows of df that stay if one document of each group of similar ones does: that of the least id.
+
+    Rows without id stay. Of several rows with one id, one stays.
+    """
+    found = similar(df.select(key, text), key, text, width, num, den)
+    ids = found.where(F.col(key).isNotNull() & (F.col(key) != F.col("component_id"))).select(F.col(key).alias("id")).distinct()
+    kept = df.join(cut(ids), F.col(key) == F.col("id"), "left_anti")
+    repeated = cut(kept.groupBy(key).count().where((F.col("count") > 1) & F.col(key).isNotNull()).select(F.col(key).alias("id")))
+    if repeated.isEmpty():
+        return kept
+    twice = kept.join(repeated, F.col(key) == F.col("id"), "left_semi").dropDuplicates([key])
+    return kept.join(repeated, F.col(key) == F.col("id"), "left_anti").union(twice)

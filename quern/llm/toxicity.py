@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, hash64, labelled_sample, without
+from .components import cut
 
 #: Letters that signs stand for in disguised words. Fixed values.
 LOOKS = {
@@ -287,21 +288,31 @@ def learn_words(
     def keyed(texts: pd.Series) -> pd.Series:
         return texts.map(copies_key).astype("int64")
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Memo(lambda w: features_of(readings(w, model)), 1 << 17)
-        counts: dict[str, list[int]] = {"": [0, 0]}
-        for batch in batches:
-            for t, y in zip(batch["t"], batch["y"]):
-                counts[""][y] += 1
-                for f in set().union(*map(memo.__getitem__, text_words(t))):
-                    counts.setdefault(f, [0, 0])[y] += 1
-        yield pd.DataFrame([(f, *x) for f, x in counts.items()], columns=["f", "n0", "n1"])
+    def counted(kept: frozenset[str] | None):
+        """Counts features, or those among `kept`, in the rows of a task."""
+
+        def rows_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            nothing: frozenset[str] = frozenset()
+            memo = Memo(lambda w: frozenset(f for f in features_of(readings(w, model)) if kept is None or f in kept) or nothing, 1 << 17)
+            counts: dict[str, list[int]] = {"": [0, 0]}
+            for batch in batches:
+                for t, y in zip(batch["t"], batch["y"]):
+                    counts[""][y] += 1
+                    for f in set().union(*map(memo.__getitem__, text_words(t))):
+                        counts.setdefault(f, [0, 0])[y] += 1
+            yield pd.DataFrame([(f, *x) for f, x in counts.items()], columns=["f", "n0", "n1"])
+
+        return rows_
+
+    def summed(rows: DataFrame, kept: frozenset[str] | None) -> DataFrame:
+        sums = rows.select("t", "y").mapInPandas(counted(kept), "f string, n0 long, n1 long")
+        return sums.groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
     rows = rows.select("t", F.col(label).alias("y")).withColumn("k", keyed("t"))
-    single = rows.groupBy("k", "y").agg(F.min("t").alias("t")).withColumn("third", F.pmod(F.xxhash64("k"), F.lit(3)))
-    sums = single.where("third > 0").mapInPandas(counted, "f string, n0 long, n1 long")
-    sums = sums.groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    sums = sums.where("f = '' or n1 >= 4").collect()  # of a bounded sample
+    single = cut(rows.groupBy("k", "y").agg(F.min("t").alias("t")).withColumn("third", F.pmod(F.xxhash64("k"), F.lit(3))))
+    # First the features of rows with the label, which are few; then these in all rows. The sample is bounded, so both are.
+    often = summed(single.where("third > 0 and y = 1"), None).where("f != '' and n1 >= 4").select("f").collect()
+    sums = summed(single.where("third > 0"), frozenset(r.f for r in often)).collect()
     all0, all1 = next(((r.n0, r.n1) for r in sums if not r.f), (0, 0))
     prior = (all1 + NO_LABELS) / (all0 + all1 + 1)
     weights = {}
@@ -330,7 +341,7 @@ def score(text: Column, scorer: Scorer) -> Column:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo = Memo(telling(scorer.model, scorer.weights), 1 << 19)
+        memo = Memo(telling(scorer.model, scorer.weights), 1 << 18)
         for texts in batches:
             out = []
             for t in texts:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import event_queries, metric_queries, relational_queries, retrieval_queries, text_queries  # noqa: F401  they register
+from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "bm25_search"

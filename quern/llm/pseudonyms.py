@@ -160,7 +160,8 @@ def ssn(text: str, key: bytes) -> str:
 
 
 def is_phone(text: str) -> bool:
-    return 7 <= len(_digits(text)) <= 15
+    """Seven to fifteen digits, and not four and twice two, which look like a date."""
+    return 7 <= len(_digits(text)) <= 15 and not re.fullmatch(r"\d{4}[-./ ]\d\d[-./ ]\d\d|\d\d[-./ ]\d\d[-./ ]\d{4}", text)
 
 
 def phone(text: str, key: bytes) -> str:

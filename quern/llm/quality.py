@@ -111,6 +111,8 @@ def fit(values: np.ndarray, labels: np.ndarray, names: list[str]) -> Rules:
         p = 1 / (1 + np.exp(-logit))
         logit += RATE * _grow(x, p - labels, p * (1 - p), bounds, np.arange(len(labels)), DEPTH, (), paths)
     paths = list(dict.fromkeys(paths))
+    if not paths:
+        return Rules(bias, ())
     holds = np.stack([np.all([(x[:, j] > k) == above for j, above, k in path], 0) for path in paths], 1).astype(np.float64)
     weights, w0 = np.zeros(len(paths)), bias
     step = 4 * len(labels) / (np.linalg.norm(np.column_stack((holds, np.ones(len(labels)))), 2) ** 2)

@@ -7,13 +7,16 @@ the order puts the long lists last: they are not merged but probed, by binary se
 counted (the division of lists that DivideSkip makes). In Spark's terms: short lists meet in a shuffle by shingle, and
 overlaps are counted where both texts of a candidate pair meet.
 
-1. Each class posts its first shingles in hash order, with some to spare. Lists of one posting are dropped, those
-   of more than LONG are long; both by streaming over sorted postings, holding LONG rows at most.
-2. A class with enough short-listed shingles among its postings is done (order 1: by whether the list is long, then by
-   hash). The few others post their whole sets, and get an order of their own for pairs among them (order 2: by how many
-   of them have a shingle). Pairs of both kinds use order 1.
-3. Each list's members are checked against its smallest member; components of these links are made. Then all pairs of
-   list members in different components are checked. Links inside a component are not listed, as copies need not be.
+1. Each class posts its first shingles in hash order, with some to spare. Lists of one posting are dropped by streaming
+   over sorted postings.
+2. Members that share many lists with the smallest member of these are checked against it. Most near copies are then in
+   one component, and links inside a component need no more search. A list counts the components that its members are
+   in: lists of one are dropped, and those of more than LONG are long.
+3. A class with enough shingles of lists that aren't long among its postings is done (order 1: by whether the list is
+   long, then by hash). The few others post their whole sets, and get an order of their own for pairs among them (order
+   2, with lists of these alone). Pairs of both kinds use order 1.
+4. Each list's members are checked against its smallest member, then all pairs of members in different components.
+   Step 2 only saves work; steps 3 and 4 find every link between components.
 
 Results for odd input: null and empty texts and texts without words have no shingles and are their own component; a
 text of fewer words than a shingle has one shingle, its whole word sequence; rows with the same id are one document for
@@ -35,7 +38,7 @@ from pyspark.sql import Window
 from .common import Memo, hash64, partitions, without
 from .components import components, cut
 
-#: Classes that share a shingle beyond which its list is long.
+#: Components that share a shingle beyond which its list is long.
 LONG = 16
 SPARE = 32
 #: Ids that are broadcast at most; more are joined by a shuffle.
@@ -118,43 +121,36 @@ def _posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of sorted postings, those whose shingle others have too; long: more than LONG have it."""
-    held = None
-    known_long = None  # a shingle that is being passed on as long
+    """Of sorted postings, those whose shingle others have too. Holds one row between batches."""
+    held = None  # the last row, while it isn't known whether another follows
+    known = None  # the shingle of rows that were passed on
     for batch in batches:
         rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
         s = rows["s"].to_numpy()
-        starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        size = np.diff(np.concatenate((starts, [len(s)])))
-        of = np.repeat(np.arange(len(starts)), size)
-        long = (size > LONG)[of] | (s == known_long if known_long is not None else False)
-        last = of == len(starts) - 1
-        keep_back = last & ~long
-        out = rows[(long | (size > 1)[of]) & ~keep_back].assign(long=long[(long | (size > 1)[of]) & ~keep_back])
-        known_long = s[-1] if long[-1] else None
-        held = rows[keep_back]
-        if len(out):
-            yield out
-    if held is not None and len(held) > 1:
-        yield held.assign(long=False)
+        same = s[1:] == s[:-1]
+        keep = np.concatenate(([known is not None and s[0] == known], same)) | np.concatenate((same, [False]))
+        held = None if keep[-1] else rows.iloc[-1:]
+        known = s[-1] if keep[-1] else None
+        if keep.any():
+            yield rows[keep]
 
 
 def _early(least: Threshold):
-    """Of each class, its short-listed postings that come early in order 1; or one row without shingle if it has too few."""
+    """Of each class, its postings that come early in order 1 without the long lists; one row without shingle if too few."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for rep, n, places, ss, longs in zip(batch["rep"], batch["n"], batch["at"], batch["s"], batch["long"]):
+            for rep, n, c, places, ss, longs in zip(batch["rep"], batch["n"], batch["c"], batch["at"], batch["s"], batch["long"]):
                 long = np.asarray(longs, bool)
                 at, s, probes = np.asarray(places), np.asarray(ss), least.probes(n)
                 if least.posted(n) - long.sum() < min(probes, n):
-                    out.append((None, rep, n, 0))
+                    out.append((None, rep, n, 0, c))
                     continue
                 long_at = np.sort(at[long])
                 rank = at[~long] - np.searchsorted(long_at, at[~long])
-                out += [(x, rep, n, r) for x, r in zip(s[~long].tolist(), rank.tolist()) if r < probes]
-            yield pd.DataFrame(out, columns=["s", "rep", "n", "rank"]).astype({"s": "Int64"})
+                out += [(x, rep, n, r, c) for x, r in zip(s[~long].tolist(), rank.tolist()) if r < probes]
+            yield pd.DataFrame(out, columns=["s", "rep", "n", "rank", "c"]).astype({"s": "Int64"})
 
     return rows
 
@@ -234,36 +230,53 @@ def links(texts: DataFrame, reps: DataFrame, width: int, least: Threshold) -> Da
     parts = partitions(texts)
     posts = reps.mapInPandas(_posted, "s long, rep long, n int, at int")
     shared = posts.repartition(parts, "s").sortWithinPartitions("s")
-    shared = cut(shared.mapInPandas(_shared, "s long, rep long, n int, at int, long boolean"))
-    grouped = shared.groupBy("rep", "n").agg(*[F.collect_list(c).alias(c) for c in ("at", "s", "long")])
-    early = cut(grouped.mapInPandas(_early(least), "s long, rep long, n int, rank int"))
-    dense = early.where("s is null").select(F.col("rep").alias("id")).distinct()
-    whole = cut(_with_ids(texts, dense).mapInPandas(_whole(width), "s long, rep long, n int").distinct())
-    long1 = shared.where("long").select("s").distinct()
-    long2 = whole.groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") > LONG).select("s", F.lit(1).alias("late"))
+    shared = cut(shared.mapInPandas(_shared, "s long, rep long, n int, at int"))
     probes = F.col("n") - F.ceil(least.num * F.col("n") / least.den) + 1
-    by_hash = (F.row_number().over(Window.partitionBy("rep", "n").orderBy("s")) - 1).alias("rank")
-    by_list = (F.row_number().over(Window.partitionBy("rep", "n").orderBy("late", "s")) - 1).alias("rank")
-    first = early.where("s is not null").select(F.lit(1).alias("o"), F.lit(False).alias("dense"), "s", "rep", "n", "rank")
-    mixed = whole.join(long1, "s", "left_anti").select(F.lit(1).alias("o"), F.lit(True).alias("dense"), "s", "rep", "n", by_hash)
-    second = whole.join(long2, "s", "left").withColumn("late", F.coalesce("late", F.lit(0)))
-    second = second.select(F.lit(2).alias("o"), F.lit(False).alias("dense"), "s", "rep", "n", by_list)
-    lists = cut(first.union(mixed.where(F.col("rank") < probes)).union(second.where(F.col("rank") < probes)))
+
+    # Members that share at least half of their first postings with a list's smallest member.
+    first = shared.where(F.col("at") < probes)
+    heads = first.groupBy("s").agg(F.min(F.struct("n", "rep")).alias("y"))
+    stars = first.join(heads, "s").where((F.col("rep") != F.col("y.rep")) & (least.den * F.col("y.n") >= least.num * F.col("n")))
+    stars = stars.groupBy(F.col("rep").alias("x"), F.col("y.rep").alias("y"), "n").agg(F.count("*").alias("k")).where(2 * F.col("k") >= probes)
+    found = cut(checked(stars.select("x", "y").distinct(), texts, width, least))
+    joined = cut(components(found, "x", "y").select(F.col("id").alias("rep"), "component_id"))
+
+    def with_components(rows: DataFrame, joined: DataFrame) -> DataFrame:
+        return rows.join(joined, "rep", "left").withColumn("c", F.coalesce("component_id", "rep")).drop("component_id")
+
+    def crowds(rows: DataFrame) -> DataFrame:
+        """How many components each list has, of those that have several."""
+        return rows.select("s", "c").distinct().groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s", (F.col("k") > LONG).alias("long"))
+
+    shared = with_components(shared, joined)
+    several = cut(crowds(shared))
+    grouped = shared.join(several, "s").groupBy("rep", "n", "c").agg(*[F.collect_list(x).alias(x) for x in ("at", "s", "long")])
+    early = cut(grouped.mapInPandas(_early(least), "s long, rep long, n int, rank int, c long"))
+    dense = early.where("s is null").select(F.col("rep").alias("id")).distinct()
+    whole = _with_ids(texts, dense).mapInPandas(_whole(width), "s long, rep long, n int").distinct()
+    whole = cut(with_components(whole, joined))
+    late = crowds(whole).where("long").select("s", F.lit(1).alias("late"))
+    own = Window.partitionBy("rep", "n")
+    order1 = (F.row_number().over(own.orderBy("s")) - 1).alias("rank")
+    order2 = (F.row_number().over(own.orderBy("late", "s")) - 1).alias("rank")
+    mixed = whole.join(several.where("long"), "s", "left_anti").select(F.lit(1).alias("o"), F.lit(True).alias("dense"), "s", "rep", "n", order1, "c")
+    second = whole.join(late, "s", "left").withColumn("late", F.coalesce("late", F.lit(0)))
+    second = second.select(F.lit(2).alias("o"), F.lit(False).alias("dense"), "s", "rep", "n", order2, "c")
+    lists = early.where("s is not null").select(F.lit(1).alias("o"), F.lit(False).alias("dense"), "s", "rep", "n", "rank", "c")
+    lists = cut(_open(lists.union(mixed.where(F.col("rank") < probes)).union(second.where(F.col("rank") < probes))))
 
     # Every member against the smallest one of its list.
     heads = lists.where((F.col("rank") < least.indexed_column(F.col("n"))) & ~F.col("dense"))
-    heads = heads.groupBy("o", "s").agg(F.min(F.struct("n", "rep", "rank")).alias("y"))
-    stars = lists.join(heads, ["o", "s"]).where(F.struct("n", "rep") > F.struct("y.n", "y.rep"))
-    stars = stars.where(least.possible(F.col("y.n"), F.col("y.rank"), F.col("n"), F.col("rank")) & (F.col("rep") != F.col("y.rep")))
-    found = cut(checked(stars.select(F.col("rep").alias("x"), F.col("y.rep").alias("y")).distinct(), texts, width, least))
-
-    # Then all pairs of members in different components, from lists that have several.
-    joined = components(found, "x", "y").withColumnRenamed("id", "rep")
-    lists = lists.join(joined, "rep", "left").withColumn("c", F.coalesce("component_id", "rep")).drop("component_id")
-    open_lists = lists.groupBy("o", "s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("o", "s")
-    lists = cut(lists.join(open_lists, ["o", "s"], "left_semi"))
+    heads = heads.groupBy("o", "s").agg(F.min(F.struct("n", "rep", "rank", "c")).alias("y"))
+    stars = lists.join(heads, ["o", "s"]).where((F.struct("n", "rep") > F.struct("y.n", "y.rep")) & (F.col("c") != F.col("y.c")))
+    stars = stars.where(least.possible(F.col("y.n"), F.col("y.rank"), F.col("n"), F.col("rank")))
+    found = cut(found.union(checked(stars.select(F.col("rep").alias("x"), F.col("y.rep").alias("y")).distinct(), texts, width, least)))
+
+    # Then all pairs of members in different components.
+    joined = components(found, "x", "y").select(F.col("id").alias("rep"), "component_id")
+    lists = cut(_open(with_components(lists.drop("c"), joined)))
     large = lists.select("o", "s", *[F.col(c).alias(f"x_{c}") for c in ("dense", "rep", "n", "rank", "c")])
-    pairs = lists.where((F.col("rank") < least.indexed_column(F.col("n")))).join(large, ["o", "s"]).where(
+    pairs = lists.where(F.col("rank") < least.indexed_column(F.col("n"))).join(large, ["o", "s"]).where(
         (F.struct("x_n", "x_rep") > F.struct("n", "rep")) & (F.col("c") != F.col("x_c")) & ~(F.col("dense") & F.col("x_dense"))
         & least.possible(F.col("n"), F.col("rank"), F.col("x_n"), F.col("x_rank"))
     )
@@ -271,30 +284,46 @@ def links(texts: DataFrame, reps: DataFrame, width: int, least: Threshold) -> Da
     return found.union(rest)
 
 
+def _open(lists: DataFrame) -> DataFrame:
+    """Rows of lists whose members are in several components."""
+    several = lists.groupBy("o", "s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("o", "s")
+    return lists.join(several, ["o", "s"], "left_semi")
+
+
+def grouped(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """One row (key, n_shingles, component_id) for each row of df: the least id that links reach, where texts link.
+
+    key must be a long.
+    """
+    least = Threshold(num, den)
+    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    sets = cut(texts.mapInPandas(_sets(width, least, True), "id long, n int, g binary, pre binary"))
+    reps = sets.where("n > 0 AND id IS NOT NULL").groupBy("g", "n").agg(F.min("id").alias("rep"), F.min_by("pre", "id").alias("pre"))
+    reps = cut(reps)
+    reached = components(cut(links(texts.where("id is not null"), reps.select("rep", "n", "pre"), width, least)), "x", "y")
+    classes = reps.select("g", "n", "rep").join(reached, F.col("rep") == F.col("id"), "left").select("g", "n", F.coalesce("component_id", "rep").alias("c"))
+    rows = sets.select("id", "n", "g").join(classes, ["g", "n"], "left")
+    # Rows of one id count as one document, whatever their texts.
+    component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
+    return rows.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+
+
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """df with n_shingles and component_id: the least id that links reach, where texts of similarity num / den link.
 
     Columns of df with these names are replaced. key must be a long.
     """
-    least = Threshold(num, den)
-    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    named = texts.where("id is not null")
-    reps = named.mapInPandas(_sets(width, least, True), "id long, n int, g binary, pre binary").where("n > 0")
-    reps = cut(reps.groupBy("g", "n").agg(F.min("id").alias("rep"), F.min_by("pre", "id").alias("pre")))
-    reached = components(cut(links(named, reps.select("rep", "n", "pre"), width, least)), "x", "y")
-    classes = reps.select("g", "n", "rep").join(reached, F.col("rep") == F.col("id"), "left").select("g", "n", F.coalesce("component_id", "rep").alias("component_id"))
-
-    @F.pandas_udf("n int, g binary")
-    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    found = grouped(df, key, text, width, num, den).where(F.col(key).isNotNull())
+    found = found.groupBy(F.col(key).alias("__id")).agg(F.min("component_id").alias("component_id"))
+
+    @F.pandas_udf("long")
+    def sizes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            found = [shingles(t, width) for t in batch]
-            yield pd.DataFrame({"n": [len(s) for s in found], "g": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]})
+            yield pd.Series([len(shingles(t, width)) for t in batch], dtype="int64")
 
-    rows = without(df.withColumns({"__id": F.col(key).cast("long"), "__told": told(F.col(text))}), "n_shingles", "component_id")
-    rows = rows.withColumns({"__g": F.col("__told.g"), "__n": F.col("__told.n")}).drop("__told")
-    classes = classes.select(F.col("g").alias("__g"), F.col("n").alias("__n"), F.col("component_id").alias("__c"))
-    out = rows.join(classes, ["__g", "__n"], "left").withColumns({"n_shingles": F.col("__n").cast("long"), "component_id": F.when(F.col("__id").isNotNull(), F.coalesce("__c", "__id"))})
-    return out.drop("__g", "__n", "__c", "__id")
+    rows = without(df.withColumn("__n", sizes(F.col(text))), "n_shingles", "component_id")
+    rows = rows.join(found, F.col(key).cast("long") == F.col("__id"), "left").withColumnRenamed("__n", "n_shingles")
+    return rows.drop("__id")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -302,7 +331,7 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
 
     Rows without id stay. Of several rows with one id, one stays.
     """
-    found = similar(df.select(key, text), key, text, width, num, den)
+    found = grouped(df, key, text, width, num, den)
     ids = found.where(F.col(key).isNotNull() & (F.col(key) != F.col("component_id"))).select(F.col(key).alias("id")).distinct()
     kept = df.join(cut(ids), F.col(key) == F.col("id"), "left_anti")
     repeated = cut(kept.groupBy(key).count().where((F.col("count") > 1) & F.col(key).isNotNull()).select(F.col(key).alias("id")))

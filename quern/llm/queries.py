@@ -22,9 +22,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = jaccard_join.similar(documents, width=3, num=90, den=100)
-    return found.select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.grouped(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,20 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     both = total.crossJoin(chance)  # one row each
     po, pe = F.col("same") / F.col("all"), F.col("xy") / (F.col("all") * F.col("all"))
     return both.select(F.round(po, 6).alias("observed"), F.round(pe, 6).alias("chance"), F.round((po - pe) / (1 - pe), 6).alias("kappa"))
+
+
+def poisson_bootstrap(df: DataFrame, groups: list[str], key: str, value: str, times: int, cumulative: tuple[float, ...]) -> DataFrame:
+    """Bounds of the mean of each group from Poisson resamples, whose weights follow from keys.
+
+    Each row adds to `times` sums of its group, which are made before the shuffle.
+    """
+
+    def weight(i: int) -> Column:
+        digest = F.substring(F.sha2(F.concat(F.lit(f"boot{i}:"), F.col(key).cast("string")), 256), 1, 12)
+        b = F.conv(digest, 16, 10).cast("double") / float(16**12)
+        return sum(((b >= p).cast("int") for p in cumulative), F.lit(0))
+
+    sums = df.select(*groups, F.col(value).alias("v"), F.posexplode(F.array(*[weight(i) for i in range(times)])).alias("r", "w"))
+    means = sums.groupBy(*groups, "r").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("n")).where("n > 0")
+    means = means.select(*groups, F.round(F.col("s") / F.col("n"), 6).alias("mean"))
+    return means.groupBy(*groups).agg(nearest_rank("mean", 0.025).alias("low"), nearest_rank("mean", 0.975).alias("high"), F.count("*").alias("n"))

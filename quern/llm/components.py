@@ -3,17 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a table with two or three numbers each that is broadcast at most; larger ones are joined by a shuffle.
+FEW_ROWS = 500_000
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that the cluster shares, and read from there: its lineage ends here."""
+    """df written as a table to the checkpoint folder that the cluster shares, and read from there: its lineage ends here.
+
+    The files go when the application ends.
+    """
     spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        root = spark.sparkContext.getCheckpointDir()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/table-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString())
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A table of small rows for the second side of a join: broadcast if it is known to be small. df should be cut."""
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -36,13 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .common import Memo, hash64, partitions, without
-from .components import components, cut
+from .components import components, cut, few
 
 #: Components that share a shingle beyond which its list is long.
 LONG = 16
 SPARE = 32
-#: Ids that are broadcast at most; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 _WORDS: Memo = Memo(hash64, 1 << 19)
@@ -208,25 +206,22 @@ def _checked(width: int, least: Threshold):
     return rows
 
 
-def _with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is among ids: by broadcast if these are few, else by a shuffle."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-
-
 def checked(pairs: DataFrame, texts: DataFrame, width: int, least: Threshold) -> DataFrame:
     """The pairs (x, y) of ids whose texts link."""
     pairs = cut(pairs)
     ids = cut(pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct())
-    packed = _with_ids(texts, ids).select("id", F.pandas_udf(_packed, "binary")("t").alias("z"))
+    packed = texts.join(few(ids), "id", "left_semi").select("id", F.pandas_udf(_packed, "binary")("t").alias("z"))
     packed = cut(packed)
     both = pairs.join(packed.select(F.col("id").alias("y"), F.col("z").alias("zy")), "y")
     both = both.join(packed.select(F.col("id").alias("x"), F.col("z").alias("zx")), "x")
     return both.select("x", "y", "zx", "zy").mapInPandas(_checked(width, least), "x long, y long")
 
 
-def links(texts: DataFrame, reps: DataFrame, width: int, least: Threshold) -> DataFrame:
-    """Links (x, y) between classes that connect all that are linked. reps: rep, n, pre of each class."""
+def links(texts: DataFrame, reps: DataFrame, width: int, least: Threshold, repeated: bool = True) -> DataFrame:
+    """Links (x, y) between classes that connect all that are linked. reps: rep, n, pre of each class.
+
+    repeated: whether an id may stand in several rows of texts.
+    """
     parts = partitions(texts)
     posts = reps.mapInPandas(_posted, "s long, rep long, n int, at int")
     shared = posts.repartition(parts, "s").sortWithinPartitions("s")
@@ -242,7 +237,7 @@ def links(texts: DataFrame, reps: DataFrame, width: int, least: Threshold) -> Da
     joined = cut(components(found, "x", "y").select(F.col("id").alias("rep"), "component_id"))
 
     def with_components(rows: DataFrame, joined: DataFrame) -> DataFrame:
-        return rows.join(joined, "rep", "left").withColumn("c", F.coalesce("component_id", "rep")).drop("component_id")
+        return rows.join(few(joined), "rep", "left").withColumn("c", F.coalesce("component_id", "rep")).drop("component_id")
 
     def crowds(rows: DataFrame) -> DataFrame:
         """How many components each list has, of those that have several."""
@@ -252,18 +247,24 @@ def links(texts: DataFrame, reps: DataFrame, width: int, least: Threshold) -> Da
     several = cut(crowds(shared))
     grouped = shared.join(several, "s").groupBy("rep", "n", "c").agg(*[F.collect_list(x).alias(x) for x in ("at", "s", "long")])
     early = cut(grouped.mapInPandas(_early(least), "s long, rep long, n int, rank int, c long"))
-    dense = early.where("s is null").select(F.col("rep").alias("id")).distinct()
-    whole = _with_ids(texts, dense).mapInPandas(_whole(width), "s long, rep long, n int").distinct()
+    dense = cut(early.where("s is null").select(F.col("rep").alias("id")).distinct())
+    whole = texts.join(few(dense), "id", "left_semi").mapInPandas(_whole(width), "s long, rep long, n int")
     whole = cut(with_components(whole, joined))
-    late = crowds(whole).where("long").select("s", F.lit(1).alias("late"))
+    # Which shingles come late: in order 1 those of long lists, in order 2 those of many dense classes.
+    late = several.where("long").select("s", F.lit(1).alias("late1"), F.lit(0).alias("late2"))
+    late = late.union(crowds(whole).where("long").select("s", F.lit(0), F.lit(1)))
+    late = cut(late.groupBy("s").agg(F.max("late1").alias("late1"), F.max("late2").alias("late2")))
+    whole = whole.join(few(late), "s", "left").fillna(0, ["late1", "late2"])
+    whole = whole.groupBy("rep", "n", "s", "c").agg(F.max("late1").alias("late1"), F.max("late2").alias("late2")) if repeated else whole
     own = Window.partitionBy("rep", "n")
-    order1 = (F.row_number().over(own.orderBy("s")) - 1).alias("rank")
-    order2 = (F.row_number().over(own.orderBy("late", "s")) - 1).alias("rank")
-    mixed = whole.join(several.where("long"), "s", "left_anti").select(F.lit(1).alias("o"), F.lit(True).alias("dense"), "s", "rep", "n", order1, "c")
-    second = whole.join(late, "s", "left").withColumn("late", F.coalesce("late", F.lit(0)))
-    second = second.select(F.lit(2).alias("o"), F.lit(False).alias("dense"), "s", "rep", "n", order2, "c")
+    whole = whole.withColumns({f"rank{i}": F.row_number().over(own.orderBy(f"late{i}", "s")) - 1 for i in (1, 2)})
+    kinds = F.array(
+        F.when((F.col("late1") == 0) & (F.col("rank1") < probes), F.struct(F.lit(1).alias("o"), F.lit(True).alias("dense"), F.col("rank1").alias("rank"))),
+        F.when(F.col("rank2") < probes, F.struct(F.lit(2).alias("o"), F.lit(False).alias("dense"), F.col("rank2").alias("rank"))),
+    )
+    ranked = whole.select(F.explode(F.array_compact(kinds)).alias("x"), "s", "rep", "n", "c").select("x.o", "x.dense", "s", "rep", "n", "x.rank", "c")
     lists = early.where("s is not null").select(F.lit(1).alias("o"), F.lit(False).alias("dense"), "s", "rep", "n", "rank", "c")
-    lists = cut(_open(lists.union(mixed.where(F.col("rank") < probes)).union(second.where(F.col("rank") < probes))))
+    lists = cut(_open(lists.union(ranked)))
 
     # Every member against the smallest one of its list.
     heads = lists.where((F.col("rank") < least.indexed_column(F.col("n"))) & ~F.col("dense"))
@@ -273,7 +274,7 @@ def links(texts: DataFrame, reps: DataFrame, width: int, least: Threshold) -> Da
     found = cut(found.union(checked(stars.select(F.col("rep").alias("x"), F.col("y.rep").alias("y")).distinct(), texts, width, least)))
 
     # Then all pairs of members in different components.
-    joined = components(found, "x", "y").select(F.col("id").alias("rep"), "component_id")
+    joined = cut(components(found, "x", "y").select(F.col("id").alias("rep"), "component_id"))
     lists = cut(_open(with_components(lists.drop("c"), joined)))
     large = lists.select("o", "s", *[F.col(c).alias(f"x_{c}") for c in ("dense", "rep", "n", "rank", "c")])
     pairs = lists.where(F.col("rank") < least.indexed_column(F.col("n"))).join(large, ["o", "s"]).where(
@@ -298,10 +299,11 @@ def grouped(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     least = Threshold(num, den)
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     sets = cut(texts.mapInPandas(_sets(width, least, True), "id long, n int, g binary, pre binary"))
-    reps = sets.where("n > 0 AND id IS NOT NULL").groupBy("g", "n").agg(F.min("id").alias("rep"), F.min_by("pre", "id").alias("pre"))
-    reps = cut(reps)
-    reached = components(cut(links(texts.where("id is not null"), reps.select("rep", "n", "pre"), width, least)), "x", "y")
-    classes = reps.select("g", "n", "rep").join(reached, F.col("rep") == F.col("id"), "left").select("g", "n", F.coalesce("component_id", "rep").alias("c"))
+    own = sets.where("n > 0 AND id IS NOT NULL").groupBy("g", "n")
+    reps = own.agg(F.min("id").alias("rep"), F.min_by("pre", "id").alias("pre")).select("rep", "n", "pre")
+    repeated = not sets.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty()
+    reached = cut(components(links(texts.where("id is not null"), reps, width, least, repeated), "x", "y"))
+    classes = own.agg(F.min("id").alias("rep")).join(few(reached), F.col("rep") == F.col("id"), "left").select("g", "n", F.coalesce("component_id", "rep").alias("c"))
     rows = sets.select("id", "n", "g").join(classes, ["g", "n"], "left")
     # Rows of one id count as one document, whatever their texts.
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))

@@ -29,6 +29,8 @@ COSINE = 0.93
 TABLES, DIRECTIONS, STRIP, SEED = 16, 10, 2.0, 30_011
 #: Vectors of one bucket that a task compares at once.
 BLOCK = 1024
+#: Large buckets that are broadcast at most.
+BROADCAST_BUCKETS = 100_000
 
 
 def buckets(vectors: np.ndarray, tables: int = TABLES, directions: int = DIRECTIONS, strip: float = STRIP, seed: int = SEED) -> np.ndarray:
@@ -136,8 +138,9 @@ def links(classes: DataFrame, least: float = COSINE, tables: int = TABLES, direc
     key = ["l", "t", "b", "d"]
     # Buckets over the bound get as many blocks as they need; each of their rows goes to every pair with its block.
     large = dealt.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > block)
-    large = large.select(*key, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = dealt.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    large = cut(large.select(*key, F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    few = large.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS  # else by a shuffle
+    dealt = dealt.join(F.broadcast(large) if few else large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(

@@ -6,7 +6,8 @@ document, and different values different ones. A pseudonym of a card number is a
 a valid date.
 
 Results for odd input: a null text stays null with 0 findings; text without findings comes back as it was; overlapping
-findings go to the one that starts first, and of these to the kind listed first.
+findings go to the one that starts first, and of these to the kind listed first. A number that runs on into others ends
+before a finding of another kind in it, and where its check holds; what is left over is searched again.
 """
 
 from __future__ import annotations
@@ -187,8 +188,8 @@ Check = Callable[[str], object] | None
 #: kind, pattern, check, pseudonym. A pattern's group `v`, if it has one, is what gets replaced.
 KINDS: tuple[tuple[str, str, Check, Callable[[str, bytes], str]], ...] = (
     ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])", None, email),
-    ("secret", r"(?i:\b(?:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key)\b[\"']?\s{0,4}[=:]\s{0,4}[\"']?)(?P<v>[A-Za-z0-9_\-/+.~]{8,512})", lambda t: any(c in DIGITS for c in t), secret),
-    ("secret", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])", None, secret),
+    ("secret", r"(?i:\b(?:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key)\b[\"']?\s{0,4}[=:]\s{0,4}[\"']?)(?P<v>[A-Za-z0-9_\-/+.~]{8,})", lambda t: any(c in DIGITS for c in t), secret),
+    ("secret", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])", None, secret),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", is_iban, iban),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)", is_ip, ip),
     ("date", r"(?<![\w\-/.])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\w\-/])", _day, date),
@@ -201,24 +202,82 @@ FINDERS = tuple((kind, re.compile(pattern), check, make) for kind, pattern, chec
 HINT = re.compile("[0-9@]|(?i:token|secret|passw|pwd|key)")
 
 
-def find(text: str) -> list[tuple[int, int, str]]:
-    """Start, end and kind of what is replaced, in order, without overlap."""
+#: Kinds whose patterns run on over blanks, and so may take in numbers behind the value.
+WIDE = frozenset(("iban", "card", "phone"))
+CARD, PHONE = (next(i for i, k in enumerate(KINDS) if k[0] == kind) for kind in ("card", "phone"))
+#: How cards are written.
+LAYOUT = re.compile(r"\d{13,19}|\d{4}(?:[ \-]\d{4}){2,3}(?:[ \-]\d{1,4})?|\d{4}[ \-]\d{6}[ \-]\d{4,5}")
+#: Kinds that a card or phone must not take in; a phone no card either, though one in ten numbers has a card's check digit.
+APART = frozenset(i for i, k in enumerate(KINDS) if k[0] not in ("ssn", "card", "phone"))
+Found = tuple[int, int, int]
+
+
+def _shorter(text: str, order: int, start: int, end: int) -> int | None:
+    """The last end before `end` where a wide match of this start is whole groups and its check holds."""
+    _, pattern, check, _ = FINDERS[order]
+    for at in range(end - 1, start, -1):
+        if text[at] in " ." and pattern.fullmatch(text, start, at) and check(text[start:at]):
+            return at
+    return None
+
+
+def _next(text: str, order: int, at: int) -> Found | None:
+    """Start, kind's place and end of the next match of a kind whose check holds."""
+    kind, pattern, check, _ = FINDERS[order]
+    while m := pattern.search(text, at):
+        start, end = m.span("v") if "v" in pattern.groupindex else m.span()
+        if check is None or check(text[start:end]):
+            return start, order, end
+        if kind in WIDE and (end := _shorter(text, order, start, end)):
+            return start, order, end
+        at = m.start() + 1
+    return None
+
+
+def find(text: str) -> list[tuple[int, int, int]]:
+    """Start, end and kind's place of what is replaced, in order, without overlap."""
     if not HINT.search(text):
         return []
-    found = []
-    for order, (kind, pattern, check, _) in enumerate(FINDERS):
-        for m in pattern.finditer(text):
-            start, end = m.span("v") if "v" in pattern.groupindex else m.span()
-            if check is None or check(text[start:end]):
-                found.append((start, order, end, kind))
-    out, at = [], 0
-    for start, order, end, _ in sorted(found):
-        if start >= at:
-            out.append((start, end, order))
-            at = end
+    coming = {i: f for i in range(len(FINDERS)) if (f := _next(text, i, 0))}
+    out = []
+    while coming:
+        _narrow(text, coming, CARD, APART)
+        if min(coming.values())[1] == PHONE and not _narrow(text, coming, PHONE, APART | {CARD}):
+            continue
+        start, order, end = min(coming.values())
+        out.append((start, end, order))
+        for i in [i for i, f in coming.items() if f[0] < end]:
+            _advance(text, coming, i, end)
     return out
 
 
+def _narrow(text: str, coming: dict[int, Found], order: int, apart: frozenset[int]) -> bool:
+    """Ends a match before the first of other kinds in it, or goes on to the next match: whether the same start stays."""
+    moved = False
+    while order in coming:
+        start, _, end = coming[order]
+        inner = min((coming[i][:2] for i in apart if i in coming and start < coming[i][0] < end), default=None)
+        if inner is None:
+            break
+        shorter = _shorter(text, order, start, inner[0])
+        if shorter:
+            coming[order] = start, order, shorter
+        elif inner[1] == CARD and (text[start] in "+(" or not LAYOUT.fullmatch(text, *coming[CARD][::2])):
+            break  # rather a phone than a card, whose check digit is chance
+        else:
+            moved = True
+            _advance(text, coming, order, start + 1)
+    return not moved
+
+
+def _advance(text: str, coming: dict[int, Found], order: int, at: int) -> None:
+    found = _next(text, order, at)
+    if found:
+        coming[order] = found
+    else:
+        del coming[order]
+
+
 def pseudonymised(text: str, key: bytes) -> tuple[str, list[str]]:
     """The text with pseudonyms, and the kinds found in order."""
     parts, kinds, at = [], [], 0

@@ -7,8 +7,8 @@ the order puts the long lists last: they are not merged but probed, by binary se
 counted (the division of lists that DivideSkip makes). In Spark's terms: short lists meet in a shuffle by shingle, and
 overlaps are counted where both texts of a candidate pair meet.
 
-1. Each class posts its first shingles in hash order, with some to spare. Lists of one posting are dropped by streaming
-   over sorted postings.
+1. Each class posts its first shingles in hash order, with as many to spare as any class that it can link with. Lists of
+   one posting are dropped by streaming over sorted postings.
 2. Members that share many lists with the smallest member of these are checked against it. Most near copies are then in
    one component, and links inside a component need no more search. A list counts the components that its members are
    in: lists of one are dropped, and those of more than LONG are long.
@@ -90,10 +90,20 @@ class Threshold:
             & (F.least(small - small_rank, large - large_rank) >= least)
         )
 
-    def posted(self, n: int) -> int:
+    def early(self, n: int) -> int:
+        """First shingles by which a set is judged: those it probes, and some to spare for long lists among them."""
         probes = self.probes(n)
         return min(n, probes + min(probes, SPARE))
 
+    def posted(self, n: int) -> int:
+        """First shingles that a set posts: as many to spare as the largest set that it can link with has.
+
+        A first common shingle in order 1 has before it, in the set's hash order, fewer than `probes` shingles of its own
+        and common ones of long lists, of which a partner that isn't dense has no more than it has to spare. So a set
+        that turns out dense has posted each shingle by which such a partner can link with it.
+        """
+        return min(n, self.probes(n) + min(self.probes(n * self.den // self.num), SPARE))
+
 
 def _sets(width: int, least: Threshold, posts: bool):
     """Rows of id, n, digest of the set and, if asked for, the first postings."""
@@ -142,13 +152,15 @@ def _early(least: Threshold):
             for rep, n, c, places, ss, longs in zip(batch["rep"], batch["n"], batch["c"], batch["at"], batch["s"], batch["long"]):
                 long = np.asarray(longs, bool)
                 at, s, probes = np.asarray(places), np.asarray(ss), least.probes(n)
-                if least.posted(n) - long.sum() < min(probes, n):
+                first = least.early(n)
+                if first - (long & (np.asarray(places) < first)).sum() < min(probes, n):
                     out.append((None, rep, n, 0, c))
                     continue
                 long_at = np.sort(at[long])
                 rank = at[~long] - np.searchsorted(long_at, at[~long])
                 out += [(x, rep, n, r, c) for x, r in zip(s[~long].tolist(), rank.tolist()) if r < probes]
-            yield pd.DataFrame(out, columns=["s", "rep", "n", "rank", "c"]).astype({"s": "Int64"})
+            s = pd.array([r[0] for r in out], dtype="Int64")  # nulls beside hashes must not make them floats
+            yield pd.DataFrame([r[1:] for r in out], columns=["rep", "n", "rank", "c"]).assign(s=s)[["s", "rep", "n", "rank", "c"]]
 
     return rows
 

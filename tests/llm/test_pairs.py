@@ -62,6 +62,18 @@ def test_join_finds_all_links(spark, width, num, den, seed):
     assert all(r.n_shingles == len(sets_of(texts[i], width)) for i, r in found.items())
 
 
+@pytest.mark.parametrize(("width", "num", "den", "words"), [(3, 90, 100, 11), (5, 8, 10, 8)])
+def test_join_of_short_texts_with_a_hot_passage(spark, width, num, den, words):
+    texts, hot = {}, "p0 p1 p2 p3 p4 p5"
+    for i in range(0, 120, 2):  # pairs of 9 and 10, or 4 and 5, shingles
+        own = " ".join(f"w{i}_{k}" for k in range(words - 6))
+        texts[i], texts[i + 1] = f"{hot} {own}", f"{hot} {own} end{i}"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    expected, links = brute(texts, width, num, den)
+    assert len(links) == 60
+    assert {r.doc_id: r.component_id for r in jaccard_join.grouped(df, width=width, num=num, den=den).collect()} == expected
+
+
 def test_overlaps_divides_lists():
     rng = np.random.default_rng(5)
     for _ in range(50):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .graphs import components, held
 
 
 PRIME = 2_147_483_647
@@ -31,19 +32,46 @@ def minhash(shingles: Column, hashes: int, seed: int = 7) -> Column:
     return F.array(*[least(2 * ((seed * 7_919 + i * 104_729) % 1_000_003) + 1, (seed * 15_485_863 + i * 32_452_843) % PRIME) for i in range(hashes)])
 
 
+def _classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Classes of equal texts, whose smallest key stands for them."""
+    return df.where(F.length(F.trim(text)) > 0).groupBy(F.xxhash64(text).alias("h")).agg(F.min(key).alias("k"), F.min(text).alias("t"))
+
+
 def minhash_pairs(df: DataFrame, key: str, text: str, least: float, width: int = 5, bands: int = 16, rows: int = 4) -> DataFrame:
     """(a, b, jaccard): pairs of distinct texts that share a band of their MinHash signatures and are similar enough.
 
-    Equal texts form one class first, whose smallest key stands for it; classes of a band are linked with the smallest
-    key of the band only, so the number of candidates follows the number of texts.
+    The pairs connect all texts that such pairs link: members of a band are compared with its smallest key first, then
+    all those with each other that these links leave in different components. Links inside a component can be left out.
     """
-    classes = df.where(F.length(F.trim(text)) > 0).groupBy(F.xxhash64(text).alias("h")).agg(F.min(key).alias("k"), F.min(text).alias("t"))
-    sets = classes.select("k", tx.shingles(tx.words(F.col("t")), width).alias("s"))
+    sets = _classes(df, key, text).select("k", tx.shingles(tx.words(F.col("t")), width).alias("s")).where(F.size("s") > 0)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        jaccard = F.round(shared / (F.size("sa") + F.size("sb") - shared), 6)
+        return held(both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= least))
+
     signed = sets.select("k", minhash(F.col("s"), bands * rows).alias("m"))
-    banded = signed.select("k", F.posexplode(F.array(*[F.xxhash64(F.slice("m", i * rows + 1, rows)) for i in range(bands)])).alias("band", "value"))
+    banded = held(signed.select("k", F.posexplode(F.array(*[F.xxhash64(F.slice("m", i * rows + 1, rows)) for i in range(bands)])).alias("band", "value")))
     heads = banded.groupBy("band", "value").agg(F.min("k").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = banded.join(heads, ["band", "value"]).where("a != k").select("a", F.col("k").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    similar = shared / (F.size("sa") + F.size("sb") - shared)
-    return both.select("a", "b", F.round(similar, 6).alias("jaccard")).where(F.col("jaccard") >= least)
+    near = held(banded.join(heads, ["band", "value"]))
+    stars = similar(near.where("a != k").select("a", F.col("k").alias("b")).distinct())
+    found = components(stars.select("a", "b"))
+    members = near.where("a != k").join(found.withColumnRenamed("id", "k"), "k", "left").select("band", "value", "k", F.coalesce("component_id", "k").alias("c"))
+    several = members.groupBy("band", "value").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("band", "value")
+    members = held(members.join(several, ["band", "value"], "left_semi"))
+    others = members.select("band", "value", F.col("k").alias("b"), F.col("c").alias("d"))
+    pairs = members.withColumnRenamed("k", "a").join(others, ["band", "value"]).where("a < b and c != d").select("a", "b").distinct()
+    return stars.union(similar(pairs))
+
+
+def minhash_groups(df: DataFrame, key: str, text: str, least: float, width: int = 5, bands: int = 16, rows: int = 4) -> DataFrame:
+    """(key, class_id, component_id) of each row: the smallest keys of equal texts, and of texts that pairs connect.
+
+    A row of a null or blank text is its own class and component.
+    """
+    found = components(minhash_pairs(df, key, text, least, width, bands, rows).select("a", "b"))
+    classes = _classes(df, key, text).select("h", F.col("k").alias("class")).join(found.withColumnRenamed("id", "class"), "class", "left")
+    said = df.select(key, F.when(F.length(F.trim(text)) > 0, F.xxhash64(text)).alias("h")).join(classes, "h", "left")
+    own = F.coalesce("class", key)
+    return said.select(key, own.alias("class_id"), F.coalesce("component_id", own).alias("component_id"))

@@ -1,4 +1,4 @@
-"""Reachability over edges as joins."""
+"""Reachability and components over edges as joins."""
 
 from __future__ import annotations
 
@@ -22,3 +22,24 @@ def reachable(starts: DataFrame, edges: DataFrame, most_rounds: int = 64) -> Dat
             break
         found = found.union(new)
     return found
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df computed once: a checkpoint, or kept by the executors if there is no folder for one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, component_id) of the ids in links (a, b): the smallest id that links reach, by turns of large and small stars."""
+    edges = held(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state = None
+    while (now := edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()) != state and now[0]:
+        state = now
+        both = edges.union(edges.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        edges = held(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+    found = edges.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+    return found.union(edges.select("v", "v")).distinct()

@@ -251,7 +251,7 @@ def label_conflicts(spark, d):
 
 @query("minhash_pairs")
 def minhash_pairs(spark, d):
-    return duplicates.minhash_pairs(table(spark, d, "documents"), "doc_id", "text", least=0.8)
+    return duplicates.minhash_groups(table(spark, d, "documents"), "doc_id", "text", least=0.8)
 
 
 BUCKET = "(('0x' || substr(sha256('{}:' || {}), 1, 12))::UBIGINT / 281474976710656.0)"

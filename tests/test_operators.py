@@ -42,6 +42,41 @@ def test_minhash_pairs_of_near_copies(spark):
     assert {(r.a, r.b) for r in found} == {(i, 10 + i) for i in range(8)}
 
 
+@pytest.mark.parametrize("size", [3, 60])
+def test_minhash_groups_as_brute_force(spark, size):
+    rng = random.Random(3)
+    docs = {}
+    for group in range(3):
+        base = [f"w{rng.randrange(10_000)}" for _ in range(200)]
+        for i in range(size):
+            words = list(base)
+            for _ in range(rng.randrange(6)):
+                words[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+            docs[100 * group + i] = " ".join(words)
+        docs[100 * group + 99] = docs[100 * group + size - 1]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in docs.items() for w in [t.split()]}
+    root = {i: i for i in docs}
+    for a, b in itertools.combinations(sorted(docs), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    df = spark.createDataFrame([*docs.items(), (900, None), (901, " ")], "id int, t string")
+    found = {r.id: r for r in duplicates.minhash_groups(df, "id", "t", 0.8).collect()}
+    assert {i: r.component_id for i, r in found.items()} == root | {900: 900, 901: 901}
+    assert all(found[i].class_id == min(j for j in docs if docs[j] == docs[i]) for i in docs)
+    pairs = {(r.a, r.b) for r in duplicates.minhash_pairs(df, "id", "t", 0.8).collect()}
+    linked = {i for i, r in found.items() if i == r.class_id}
+    low = {i: i for i in linked}  # the pairs alone connect the classes of each component
+    for _ in range(len(linked)):
+        new = dict(low)
+        for a, b in pairs:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == low:
+            break
+        low = new
+    assert all(low[i] == found[i].component_id for i in linked)
+
+
 def test_as_of_and_islands(spark):
     rng = random.Random(2)
     left = [(i, rng.randrange(5), rng.randrange(100)) for i in range(60)]

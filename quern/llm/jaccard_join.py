@@ -1,306 +1,368 @@
 """N-gram Jaccard self-join by T-occurrence search.
 
-A text's set holds the 64-bit hashes of its shingles. Texts with equal sets form one class. Two sets link if they share
-T or more shingles, T depending on their sizes; a set that shares so many with another shares one of its first few in
-any order that both agree on. So an inverted list needs to be merged only for shingles that are early in the order, and
-the order puts the long lists last: they are not merged but probed, by binary search, when a candidate's overlap is
-counted (the division of lists that DivideSkip makes). In Spark's terms: short lists meet in a shuffle by shingle, and
-overlaps are counted where both texts of a candidate pair meet.
-
-1. Each class posts its first shingles in hash order, with as many to spare as any class that it can link with. Lists of
-   one posting are dropped by streaming over sorted postings.
-2. Members that share many lists with the smallest member of these are checked against it. Most near copies are then in
-   one component, and links inside a component need no more search. A list counts the components that its members are
-   in: lists of one are dropped, and those of more than LONG are long.
-3. A class with enough shingles of lists that aren't long among its postings is done (order 1: by whether the list is
-   long, then by hash). The few others post their whole sets, and get an order of their own for pairs among them (order
-   2, with lists of these alone). Pairs of both kinds use order 1.
-4. Each list's members are checked against its smallest member, then all pairs of members in different components.
-   Step 2 only saves work; steps 3 and 4 find every link between components.
+A text's set holds the 64-bit hashes of its shingles. Texts with equal sets form one class, for which its least id
+stands. Two sets link if they share T or more shingles, T depending on their sizes.
+
+1. Meeting. The hashes fall into more segments than two sets that link can have differing shingles, so such sets have
+   whole segments in common: so many, that they meet among the first few of their segments in any order that both agree
+   on. The order puts segments of many shingles first, which hardly any other texts share. How many segments there are
+   depends on a range of sizes; sets that can link with the next larger range post there as well.
+2. Searching. Sets that post a segment in common meet at the least id among them, its head. Sets at one head are
+   searched by T-occurrence (`linked`): each set is a query against the inverted lists of the others; its shortest lists
+   are merged, the long ones are probed for the candidates that are left (DivideSkip), and those that reach T link.
+   Heads with many sets are dealt into blocks of bounded size, and pairs of blocks are searched in different tasks.
+3. The links that connect all linked sets become components.
+
+Postings travel packed in arrays, one for each task and part. Of sets in one task that share a segment only the least
+one is packed; the others follow their segment in a join, so a segment that many sets share is no large group anywhere.
 
 Results for odd input: null and empty texts and texts without words have no shingles and are their own component; a
 text of fewer words than a shingle has one shingle, its whole word sequence; rows with the same id are one document for
-links, whatever their texts; a row without id has no component.
+links, whatever their texts; a row without id has no component. Two different shingles have the same hash about once in
+10^19 pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import zstandard
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import Memo, hash64, partitions, without
-from .components import components, cut, few
+from .common import partitions, without
+from .components import components, cut, few, forget
+from .shingles import column_sets, scramble, shingles
 
-#: Components that share a shingle beyond which its list is long.
-LONG = 16
-SPARE = 32
-MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
-
-_WORDS: Memo = Memo(hash64, 1 << 19)
-
-
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles: words between ASCII blanks, A-Z made lower."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    codes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    width = min(width, len(words))
-    mixed = np.zeros(len(words) - width + 1, np.uint64)
-    for i in range(width):
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * MIX[0] + codes[i : i + len(mixed)] * MIX[1]
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * MIX[3]
-    return np.unique((mixed ^ (mixed >> np.uint64(32))).view(np.int64))
+#: Sizes whose sets post in the same segments lie within this factor (or that of the threshold, if larger).
+RANGE = 1.5
+#: Segments beyond the least number, as a share of it: sets meet in their largest segments, not in nearly empty ones.
+SPARE = 0.3
+#: Sets and shingles of a block at most, but for one set.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Postings that a task packs at once.
+PACKED = 1 << 21
+#: DivideSkip's weight of a probe against a merge step, and postings up to which lists are merged by a heap.
+PROBE, HEAP = 0.0085, 256
 
 
 class Threshold:
-    """The similarity num / den, and what follows from it for sets of given sizes (numbers or columns)."""
+    """The similarity num / den, and what follows from it for sizes of sets."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        starts = [1]
+        while starts[-1] < 1 << 40:
+            starts.append(max(int(starts[-1] * RANGE), starts[-1] * den // num + 1))
+        self.starts = np.array(starts)
+        self._known: dict[int, tuple[int, int]] = {}
 
     def overlap(self, a, b):
         """Least shared shingles of sets of sizes a and b that link."""
         return -(-self.num * (a + b) // (self.num + self.den))
 
-    def probes(self, n):
-        """First shingles of which a set shares one with any other that it links with."""
-        return n + (-self.num * n) // self.den + 1
+    def largest(self, n):
+        """The largest size that links with size n."""
+        return n * self.den // self.num
 
-    def indexed(self, n):
-        """The same for partners that are not smaller."""
-        return n + (-2 * self.num * n) // (self.num + self.den) + 1
+    def segments(self, size_range: int) -> tuple[int, int]:
+        """Segments of a range of sizes, and of these, those that a set posts.
 
-    def indexed_column(self, n: Column) -> Column:
-        return n - F.ceil(2 * self.num * n / (self.num + self.den)) + 1
-
-    def possible(self, small: Column, small_rank: Column, large: Column, large_rank: Column) -> Column:
-        """Whether a pair with this first common shingle can link: by sizes, and by what is left after it."""
-        least = F.ceil(self.num * (small + large) / (self.num + self.den))
-        return (
-            (self.den * small >= self.num * large)
-            & (small_rank < self.indexed_column(small))
-            & (F.least(small - small_rank, large - large_rank) >= least)
-        )
-
-    def early(self, n: int) -> int:
-        """First shingles by which a set is judged: those it probes, and some to spare for long lists among them."""
-        probes = self.probes(n)
-        return min(n, probes + min(probes, SPARE))
-
-    def posted(self, n: int) -> int:
-        """First shingles that a set posts: as many to spare as the largest set that it can link with has.
-
-        A first common shingle in order 1 has before it, in the set's hash order, fewer than `probes` shingles of its own
-        and common ones of long lists, of which a partner that isn't dense has no more than it has to spare. So a set
-        that turns out dense has posted each shingle by which such a partner can link with it.
+        Linked sets of sizes a and b, the smaller one in this range, differ in a + b - 2 T shingles, `most` at most. So
+        they have all but `most` segments in common, and one of these is among the first `most` + 1 of either.
         """
-        return min(n, self.probes(n) + min(self.probes(n * self.den // self.num), SPARE))
-
-
-def _sets(width: int, least: Threshold, posts: bool):
-    """Rows of id, n, digest of the set and, if asked for, the first postings."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if size_range not in self._known:
+            small = int(self.starts[size_range + 1]) - 1
+            both = small + self.largest(small)
+            sums = np.arange(max(2, both - self.num - self.den), both + 1)
+            most = int((sums - 2 * self.overlap(sums, 0)).max())
+            self._known[size_range] = (most + 1 + math.ceil(SPARE * most), most + 1)
+        return self._known[size_range]
+
+    def ranges(self, n: int) -> list[int]:
+        """Ranges of sizes in which a set of size n posts: its own, and the one before if a set there can link with it."""
+        own = int(np.searchsorted(self.starts, n, "right")) - 1
+        return [own, own - 1] if own and self.largest(int(self.starts[own]) - 1) >= n else [own]
+
+
+def signatures(found: np.ndarray, least: Threshold) -> np.ndarray:
+    """The segments that a set posts: hashes of their range, place and shingles."""
+    out = []
+    mixed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(scramble(found), dtype=np.uint64)))
+    for size_range in least.ranges(len(found)) if len(found) else ():
+        segments, posted = least.segments(size_range)
+        place = ((found >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+        edges = np.searchsorted(place, np.arange(segments + 1))
+        marks = scramble(np.arange(segments, dtype=np.uint64) + np.uint64(size_range << 40))
+        said = scramble((mixed[edges[1:]] - mixed[edges[:-1]]) ^ marks)
+        out.append(said[np.lexsort((said, -np.diff(edges)))[:posted]])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _sets(width: int, least: Threshold):
+    """Rows of id, size, digest of the set and its postings, from Arrow batches of id and text."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t, width) for t in batch["t"]]
-            out = pd.DataFrame({"id": batch["id"], "n": [len(s) for s in found], "g": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]})
-            if posts:
-                out["pre"] = [s[: least.posted(len(s))].tobytes() for s in found]
-            yield out
+            sizes, digests, posts = [], [], []
+            for found in column_sets(batch.column(1), width):
+                sizes.append(len(found))
+                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                posts.append(signatures(found, least).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(posts, pa.binary())], ["id", "n", "g", "posts"]
+            )
 
     return rows
 
 
-def _posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [np.frombuffer(p, np.int64) for p in batch["pre"]]
-        size = [len(f) for f in found]
-        if sum(size):
-            at = np.concatenate([np.arange(k) for k in size])
-            yield pd.DataFrame({"s": np.concatenate(found), "rep": np.repeat(batch["rep"], size), "n": np.repeat(batch["n"], size), "at": at})
-
-
-def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of sorted postings, those whose shingle others have too. Holds one row between batches."""
-    held = None  # the last row, while it isn't known whether another follows
-    known = None  # the shingle of rows that were passed on
-    for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        s = rows["s"].to_numpy()
-        same = s[1:] == s[:-1]
-        keep = np.concatenate(([known is not None and s[0] == known], same)) | np.concatenate((same, [False]))
-        held = None if keep[-1] else rows.iloc[-1:]
-        known = s[-1] if keep[-1] else None
-        if keep.any():
-            yield rows[keep]
-
-
-def _early(least: Threshold):
-    """Of each class, its postings that come early in order 1 without the long lists; one row without shingle if too few."""
+def _apart(numbers: np.ndarray) -> bytes:
+    """Numbers by the place of their bytes, so that the many zero bytes stand together and compress well."""
+    return numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+
+
+def _together(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _packed(parts: int):
+    """Postings of rows (rep, posts): packed ones by part, and (s, rep) of those that follow another of this task."""
+
+    def packed(reps: list[int], posts: list[bytes]) -> Iterator[pd.DataFrame]:
+        every = np.concatenate([np.frombuffer(p, np.uint64) for p in posts])
+        owner = np.repeat(np.array(reps, np.int64), [len(p) // 8 for p in posts])
+        order = np.lexsort((owner, every))
+        every, owner = every[order], owner[order]
+        same = every[1:] == every[:-1]
+        other = np.concatenate(([False], same & (owner[1:] != owner[:-1])))  # not the row of an id that comes again
+        first = np.concatenate(([True], ~same))
+        starts = np.flatnonzero(first)
+        several = np.logical_or.reduceat(other, starts)
+        least_owner = owner[starts]
+        part = ((every[starts] & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        by_part = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[by_part], np.arange(parts + 1))
+        rows = [
+            (p, _apart(every[starts[at]]) + _apart(least_owner[at]) + several[at].tobytes())
+            for p in range(parts) if len(at := by_part[edges[p] : edges[p + 1]])
+        ]
+        yield pd.DataFrame(rows, columns=["p", "data"]).assign(s=None, rep=None)
+        if other.any():
+            yield pd.DataFrame({"p": None, "data": None, "s": every[other].view(np.int64), "rep": owner[other]})
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reps, posts, size = [], [], 0
         for batch in batches:
-            out = []
-            for rep, n, c, places, ss, longs in zip(batch["rep"], batch["n"], batch["c"], batch["at"], batch["s"], batch["long"]):
-                long = np.asarray(longs, bool)
-                at, s, probes = np.asarray(places), np.asarray(ss), least.probes(n)
-                first = least.early(n)
-                if first - (long & (np.asarray(places) < first)).sum() < min(probes, n):
-                    out.append((None, rep, n, 0, c))
-                    continue
-                long_at = np.sort(at[long])
-                rank = at[~long] - np.searchsorted(long_at, at[~long])
-                out += [(x, rep, n, r, c) for x, r in zip(s[~long].tolist(), rank.tolist()) if r < probes]
-            s = pd.array([r[0] for r in out], dtype="Int64")  # nulls beside hashes must not make them floats
-            yield pd.DataFrame([r[1:] for r in out], columns=["rep", "n", "rank", "c"]).assign(s=s)[["s", "rep", "n", "rank", "c"]]
+            for rep, post in zip(batch["rep"], batch["posts"]):
+                reps.append(rep)
+                posts.append(post)
+                size += len(post) // 8
+                if size >= PACKED:
+                    yield from packed(reps, posts)
+                    reps, posts, size = [], [], 0
+        if size:
+            yield from packed(reps, posts)
+
+    def arrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for out in rows(batches):
+            yield out.astype({"p": "Int64", "s": "Int64", "rep": "Int64"})
+
+    return arrow
+
+
+def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of one part of the packed postings: (rep, head) of those that share a segment, and (s, head) for their followers."""
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    part = None
+
+    def done() -> pd.DataFrame:
+        every, owner, several = (np.concatenate(x) for x in zip(*kept))
+        order = np.lexsort((owner, every))
+        every, owner, several = every[order], owner[order], several[order]
+        starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        sizes = np.diff(np.append(starts, len(every)))
+        head = np.repeat(owner[starts], sizes)
+        star = np.unique(np.stack((owner, head), 1)[owner != head], axis=0)
+        followed = starts[np.logical_or.reduceat(several, starts)]
+        return pd.DataFrame(
+            {
+                "s": pd.array([*[None] * len(star), *every[followed].view(np.int64).tolist()], "Int64"),
+                "rep": pd.array([*star[:, 0].tolist(), *[None] * len(followed)], "Int64"),
+                "head": np.concatenate((star[:, 1], owner[followed])),
+            }
+        )
 
-    return rows
+    for batch in batches:
+        for p, data in zip(batch["p"], batch["data"]):
+            if p != part and kept:
+                yield done()
+                kept.clear()
+            part, n = p, len(data) // 17
+            kept.append((_together(data[: 8 * n], np.uint64), _together(data[8 * n : 16 * n], np.int64), np.frombuffer(data[16 * n :], bool)))
+    if kept:
+        yield done()
 
 
 def _whole(width: int):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of id and set, from Arrow batches of id and text."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rep, text in zip(batch["id"], batch["t"]):
-                s = shingles(text, width)
-                yield pd.DataFrame({"s": s, "rep": rep, "n": len(s)})
+            found = [s.tobytes() for s in column_sets(batch.column(1), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "z"])
 
     return rows
 
 
-def _packed(texts: pd.Series) -> pd.Series:
-    pack = zstandard.ZstdCompressor(1).compress
-    return pd.Series([pack((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
+class Roots:
+    """Which of n places are connected so far."""
 
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+        self.members: dict[int, list[int]] = {}
 
-def overlaps(query: np.ndarray, candidates: list[np.ndarray], least: list[int]) -> list[bool]:
-    """T-occurrence search for one query: which candidates share at least so many of its shingles.
+    def join(self, a: int, b: int) -> bool:
+        """Connect two places; whether they weren't connected before."""
+        a, b = int(self.root[a]), int(self.root[b])
+        if a == b:
+            return False
+        own, other = self.members.pop(a, [a]), self.members.pop(b, [b])
+        if len(own) < len(other):
+            a, own, other = b, other, own
+        self.root[other] = a
+        self.members[a] = own + other
+        return True
 
-    The query's inverted lists over the candidates are divided: lists of the rarest shingles are merged by counting,
-    and a candidate that they leave short of T by more than the number of the other lists is out; for the rest, the
-    long lists are probed by binary search.
-    """
-    lists = max(1, len(query) - min(least) + 1)
-    short, long = query[:lists], query[lists:]
-
-    def shared(part: np.ndarray, other: np.ndarray) -> int:
-        at = np.minimum(np.searchsorted(other, part), len(other) - 1)
-        return int((other[at] == part).sum()) if len(other) and len(part) else 0
 
-    merged = [shared(short, c) for c in candidates]
-    return [m + len(long) >= t and m + shared(long, c) >= t for m, c, t in zip(merged, candidates, least)]
+def linked(sets: list[np.ndarray], least: Threshold, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between places of sets that connect all that link; with sides, of pairs of different sides alone.
 
+    T-occurrence search: a set is the query, and its candidates are the sets that come after it by size, so that T grows
+    with the candidate. Of the query's inverted lists, the L longest are set aside (fewer than T), and the rest are
+    merged. A candidate that they leave short of T by more than L is out; the others are looked up in the long lists by
+    binary search, those of the shorter lists first, and dropped as soon as they can't reach T. Candidates that earlier
+    links connect with the query are left out.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    by_size = np.argsort(size, kind="stable")
+    size = size[by_size]
+    k, words = len(sets), [sets[i] for i in by_size]
+    side = None if side is None else np.asarray(side)[by_size]
+    values, token, lists = np.unique(np.concatenate(words) if words else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(k), size)
+    order = np.argsort(token, kind="stable")
+    owners = owner[order]  # the lists, one after another, each in order
+    keys = token[order] * k + owners
+    begin = np.concatenate(([0], np.cumsum(lists)))
+    ends = np.concatenate(([0], np.cumsum(size)))
+    tree, out = Roots(k), []
+    for q in range(k):
+        n = int(size[q])
+        own = token[ends[q] : ends[q + 1]]
+        length = lists[own]
+        own, length = own[length > 1], length[length > 1]
+        t = int(least.overlap(n, n)) if n else 1
+        if len(own) < t:
+            continue
+        last = int(np.searchsorted(size, least.largest(n), "right"))  # candidates are q + 1 to last - 1
+        if last <= q + 1:
+            continue
+        shortest = np.argsort(length, kind="stable")
+        own, length = own[shortest], length[shortest]
+        long = min(t - 1, math.ceil(t / (PROBE * math.log2(int(length[-1])) + 1)))
+        short, probed = own[: len(own) - long], own[len(own) - long :]
+        merged = [owners[begin[x] : begin[x + 1]] for x in short.tolist()]
+        if length[: len(short)].sum() <= HEAP:
+            counts = np.bincount(np.fromiter(heapq.merge(*map(np.ndarray.tolist, merged)), np.int64), minlength=k)
+        else:  # the same by counting, which is faster than a heap for more
+            counts = np.bincount(np.concatenate(merged), minlength=k)
+        rest = counts[q + 1 : last]
+        candidates = np.flatnonzero((rest > 0) & (rest + long >= t)) + q + 1
+        if side is not None and len(candidates):
+            candidates = candidates[side[candidates] != side[q]]
+        if len(candidates):
+            candidates = candidates[tree.root[candidates] != tree.root[q]]
+        need = least.overlap(n, size[candidates])
+        have = counts[candidates]
+        for at in range(0, len(probed), 16):
+            alive = have + len(probed) - at >= need
+            candidates, need, have = candidates[alive], need[alive], have[alive]
+            if not len(candidates):
+                break
+            asked = probed[at : at + 16, None] * k + candidates
+            place = np.minimum(np.searchsorted(keys, asked.ravel()), len(keys) - 1)
+            have = have + (keys[place].reshape(asked.shape) == asked).sum(axis=0)
+        for c in candidates[have >= need].tolist():
+            if tree.join(q, c):
+                out.append((int(by_size[q]), int(by_size[c])))
+    return out
+
+
+def _searched(least: Threshold):
+    """Links (a, b) among rows of sets that come sorted by head and pair of blocks."""
+
+    def of_group(ids: list[int], packed: list[bytes], sides: list[int]) -> pd.DataFrame:
+        sets = [np.frombuffer(z, np.uint64) for z in packed]
+        side = np.array(sides)
+        found = linked(sets, least, side if side.any() else None)
+        return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"], dtype="int64")
 
-def _checked(width: int, least: Threshold):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = zstandard.ZstdDecompressor().decompress
-
-        def of(packed: bytes) -> np.ndarray:
-            return shingles(unpack(packed).decode("utf-8", "surrogatepass"), width)
-
+        held: tuple[list, list, list] = ([], [], [])
+        last = None
         for batch in batches:
-            linked = np.zeros(len(batch), bool)
-            for _, rows_ in batch.groupby(["x", "zx"], sort=False).indices.items():
-                query = of(batch["zx"].iat[rows_[0]])
-                for at in range(0, len(rows_), 64):
-                    part = rows_[at : at + 64]
-                    others = [of(batch["zy"].iat[i]) for i in part]
-                    linked[part] = overlaps(query, others, [int(least.overlap(len(query), len(o))) for o in others])
-            yield batch.loc[linked, ["x", "y"]]
+            for key, *row in zip(zip(batch["head"], batch["i"], batch["j"]), batch["id"], batch["z"], batch["side"]):
+                if key != last:
+                    if len(held[0]) > 1:
+                        yield of_group(*held)
+                    held, last = ([], [], []), key
+                for mine, value in zip(held, row):
+                    mine.append(value)
+        if len(held[0]) > 1:
+            yield of_group(*held)
 
     return rows
 
 
-def checked(pairs: DataFrame, texts: DataFrame, width: int, least: Threshold) -> DataFrame:
-    """The pairs (x, y) of ids whose texts link."""
-    pairs = cut(pairs)
-    ids = cut(pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct())
-    packed = texts.join(few(ids), "id", "left_semi").select("id", F.pandas_udf(_packed, "binary")("t").alias("z"))
-    packed = cut(packed)
-    both = pairs.join(packed.select(F.col("id").alias("y"), F.col("z").alias("zy")), "y")
-    both = both.join(packed.select(F.col("id").alias("x"), F.col("z").alias("zx")), "x")
-    return both.select("x", "y", "zx", "zy").mapInPandas(_checked(width, least), "x long, y long")
-
-
-def links(texts: DataFrame, reps: DataFrame, width: int, least: Threshold, repeated: bool = True) -> DataFrame:
-    """Links (x, y) between classes that connect all that are linked. reps: rep, n, pre of each class.
-
-    repeated: whether an id may stand in several rows of texts.
-    """
+def links(texts: DataFrame, sets: DataFrame, width: int, least: Threshold) -> DataFrame:
+    """Links (a, b) that connect all sets that link, from texts (id, t) and their sets (id, n, g, posts)."""
     parts = partitions(texts)
-    posts = reps.mapInPandas(_posted, "s long, rep long, n int, at int")
-    shared = posts.repartition(parts, "s").sortWithinPartitions("s")
-    shared = cut(shared.mapInPandas(_shared, "s long, rep long, n int, at int"))
-    probes = F.col("n") - F.ceil(least.num * F.col("n") / least.den) + 1
-
-    # Members that share at least half of their first postings with a list's smallest member.
-    first = shared.where(F.col("at") < probes)
-    heads = first.groupBy("s").agg(F.min(F.struct("n", "rep")).alias("y"))
-    stars = first.join(heads, "s").where((F.col("rep") != F.col("y.rep")) & (least.den * F.col("y.n") >= least.num * F.col("n")))
-    stars = stars.groupBy(F.col("rep").alias("x"), F.col("y.rep").alias("y"), "n").agg(F.count("*").alias("k")).where(2 * F.col("k") >= probes)
-    found = cut(checked(stars.select("x", "y").distinct(), texts, width, least))
-    joined = cut(components(found, "x", "y").select(F.col("id").alias("rep"), "component_id"))
-
-    def with_components(rows: DataFrame, joined: DataFrame) -> DataFrame:
-        return rows.join(few(joined), "rep", "left").withColumn("c", F.coalesce("component_id", "rep")).drop("component_id")
-
-    def crowds(rows: DataFrame) -> DataFrame:
-        """How many components each list has, of those that have several."""
-        return rows.select("s", "c").distinct().groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s", (F.col("k") > LONG).alias("long"))
-
-    shared = with_components(shared, joined)
-    several = cut(crowds(shared))
-    grouped = shared.join(several, "s").groupBy("rep", "n", "c").agg(*[F.collect_list(x).alias(x) for x in ("at", "s", "long")])
-    early = cut(grouped.mapInPandas(_early(least), "s long, rep long, n int, rank int, c long"))
-    dense = cut(early.where("s is null").select(F.col("rep").alias("id")).distinct())
-    whole = texts.join(few(dense), "id", "left_semi").mapInPandas(_whole(width), "s long, rep long, n int")
-    whole = cut(with_components(whole, joined))
-    # Which shingles come late: in order 1 those of long lists, in order 2 those of many dense classes.
-    late = several.where("long").select("s", F.lit(1).alias("late1"), F.lit(0).alias("late2"))
-    late = late.union(crowds(whole).where("long").select("s", F.lit(0), F.lit(1)))
-    late = cut(late.groupBy("s").agg(F.max("late1").alias("late1"), F.max("late2").alias("late2")))
-    whole = whole.join(few(late), "s", "left").fillna(0, ["late1", "late2"])
-    whole = whole.groupBy("rep", "n", "s", "c").agg(F.max("late1").alias("late1"), F.max("late2").alias("late2")) if repeated else whole
-    own = Window.partitionBy("rep", "n")
-    whole = whole.withColumns({f"rank{i}": F.row_number().over(own.orderBy(f"late{i}", "s")) - 1 for i in (1, 2)})
-    kinds = F.array(
-        F.when((F.col("late1") == 0) & (F.col("rank1") < probes), F.struct(F.lit(1).alias("o"), F.lit(True).alias("dense"), F.col("rank1").alias("rank"))),
-        F.when(F.col("rank2") < probes, F.struct(F.lit(2).alias("o"), F.lit(False).alias("dense"), F.col("rank2").alias("rank"))),
-    )
-    ranked = whole.select(F.explode(F.array_compact(kinds)).alias("x"), "s", "rep", "n", "c").select("x.o", "x.dense", "s", "rep", "n", "x.rank", "c")
-    lists = early.where("s is not null").select(F.lit(1).alias("o"), F.lit(False).alias("dense"), "s", "rep", "n", "rank", "c")
-    lists = cut(_open(lists.union(ranked)))
-
-    # Every member against the smallest one of its list.
-    heads = lists.where((F.col("rank") < least.indexed_column(F.col("n"))) & ~F.col("dense"))
-    heads = heads.groupBy("o", "s").agg(F.min(F.struct("n", "rep", "rank", "c")).alias("y"))
-    stars = lists.join(heads, ["o", "s"]).where((F.struct("n", "rep") > F.struct("y.n", "y.rep")) & (F.col("c") != F.col("y.c")))
-    stars = stars.where(least.possible(F.col("y.n"), F.col("y.rank"), F.col("n"), F.col("rank")))
-    found = cut(found.union(checked(stars.select(F.col("rep").alias("x"), F.col("y.rep").alias("y")).distinct(), texts, width, least)))
-
-    # Then all pairs of members in different components.
-    joined = cut(components(found, "x", "y").select(F.col("id").alias("rep"), "component_id"))
-    lists = cut(_open(with_components(lists.drop("c"), joined)))
-    large = lists.select("o", "s", *[F.col(c).alias(f"x_{c}") for c in ("dense", "rep", "n", "rank", "c")])
-    pairs = lists.where(F.col("rank") < least.indexed_column(F.col("n"))).join(large, ["o", "s"]).where(
-        (F.struct("x_n", "x_rep") > F.struct("n", "rep")) & (F.col("c") != F.col("x_c")) & ~(F.col("dense") & F.col("x_dense"))
-        & least.possible(F.col("n"), F.col("rank"), F.col("x_n"), F.col("x_rank"))
+    own = sets.where("n > 0 AND id IS NOT NULL")
+    copies = cut(own.groupBy("g", "n").agg(F.min("id").alias("rep")).join(own.select("id", "g", "n").distinct(), ["g", "n"]).where("id != rep").select("id", "g"))
+    reps = own.join(few(copies), ["id", "g"], "left_anti").select(F.col("id").alias("rep"), "posts")
+    posts = cut(reps.mapInPandas(_packed(parts), "p long, data binary, s long, rep long"))
+    met = posts.where("p is not null").select("p", "data").repartition(parts, "p").sortWithinPartitions("p")
+    met = cut(met.mapInPandas(_met, "s long, rep long, head long"))
+    followers = posts.where("s is not null").select("s", "rep").join(met.where("s is not null").select("s", "head"), "s")
+    stars = met.where("rep is not null").select("rep", "head").union(followers.select("rep", "head").where("rep != head")).distinct()
+    stars = cut(stars)
+    forget(posts, met, copies)
+
+    # Each set at a head goes to every pair of blocks with its own.
+    stars = stars.union(stars.select("head", "head").distinct())
+    sizes = sets.where("id is not null").groupBy(F.col("id").alias("rep")).agg(F.max("n").alias("n"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    placed = cut(stars.join(sizes, "rep"))
+    placed = placed.join(few(cut(placed.groupBy("head").agg(blocks.alias("blocks")).where("blocks > 1"))), "head", "left")
+    placed = placed.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = cut(
+        placed.select(
+            F.col("rep").alias("id"), "head", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+            F.when(F.col("own") == F.col("other"), 0).otherwise(F.when(F.col("own") < F.col("other"), 1).otherwise(2)).alias("side"),
+        )
     )
-    rest = checked(pairs.select(F.col("x_rep").alias("x"), F.col("rep").alias("y")).distinct(), texts, width, least)
-    return found.union(rest)
-
-
-def _open(lists: DataFrame) -> DataFrame:
-    """Rows of lists whose members are in several components."""
-    several = lists.groupBy("o", "s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("o", "s")
-    return lists.join(several, ["o", "s"], "left_semi")
+    wanted = few(cut(placed.select("id").distinct()))
+    whole = texts.join(wanted, "id", "left_semi").select("id", "t").mapInArrow(_whole(width), "id long, z binary")
+    group = ["head", "i", "j"]
+    found = whole.join(few(placed), "id").repartition(parts, *group).sortWithinPartitions(*group)
+    return found.mapInPandas(_searched(least), "a long, b long")
 
 
 def grouped(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -310,16 +372,20 @@ def grouped(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     """
     least = Threshold(num, den)
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    sets = cut(texts.mapInPandas(_sets(width, least, True), "id long, n int, g binary, pre binary"))
-    own = sets.where("n > 0 AND id IS NOT NULL").groupBy("g", "n")
-    reps = own.agg(F.min("id").alias("rep"), F.min_by("pre", "id").alias("pre")).select("rep", "n", "pre")
-    repeated = not sets.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty()
-    reached = cut(components(links(texts.where("id is not null"), reps, width, least, repeated), "x", "y"))
-    classes = own.agg(F.min("id").alias("rep")).join(few(reached), F.col("rep") == F.col("id"), "left").select("g", "n", F.coalesce("component_id", "rep").alias("c"))
-    rows = sets.select("id", "n", "g").join(classes, ["g", "n"], "left")
+    sets = cut(texts.mapInArrow(_sets(width, least), "id long, n long, g binary, posts binary"))
+    found = cut(links(texts.where("id is not null"), sets, width, least))
+    own = cut(sets.select("id", "n", "g"))
+    forget(sets)
     # Rows of one id count as one document, whatever their texts.
+    classes = own.where("n > 0 AND id IS NOT NULL").groupBy("g", "n").agg(F.min("id").alias("rep"))
+    several = own.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("id")
+    same = own.join(several, "id", "left_semi").join(classes, ["g", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    reached = cut(components(found.union(same)))
+    forget(found)
+    classes = classes.join(few(reached), F.col("rep") == F.col("id"), "left").select("g", "n", F.coalesce("component_id", "rep").alias("c"))
+    rows = own.join(classes, ["g", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
-    return rows.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -347,7 +413,7 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     """
     found = grouped(df, key, text, width, num, den)
     ids = found.where(F.col(key).isNotNull() & (F.col(key) != F.col("component_id"))).select(F.col(key).alias("id")).distinct()
-    kept = df.join(cut(ids), F.col(key) == F.col("id"), "left_anti")
+    kept = df.join(few(cut(ids)), F.col(key) == F.col("id"), "left_anti")
     repeated = cut(kept.groupBy(key).count().where((F.col("count") > 1) & F.col(key).isNotNull()).select(F.col(key).alias("id")))
     if repeated.isEmpty():
         return kept

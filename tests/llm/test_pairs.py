@@ -3,10 +3,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import components, embeddings, jaccard_join
+from quern.llm import components, embeddings, jaccard_join, shingles
 
 from .helpers import empty, odd
 
@@ -74,13 +75,79 @@ def test_join_of_short_texts_with_a_hot_passage(spark, width, num, den, words):
     assert {r.doc_id: r.component_id for r in jaccard_join.grouped(df, width=width, num=num, den=den).collect()} == expected
 
 
-def test_overlaps_divides_lists():
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (8, 10), (6, 10)])
+@pytest.mark.parametrize("sides", [False, True])
+def test_search_finds_links_that_connect_all(num, den, sides):
     rng = np.random.default_rng(5)
-    for _ in range(50):
-        query = np.unique(rng.integers(0, 60, 30))
-        others = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(4)]
-        least = [int(rng.integers(1, 25)) for _ in others]
-        assert jaccard_join.overlaps(query, others, least) == [len(np.intersect1d(query, o)) >= t for o, t in zip(others, least)]
+    least = jaccard_join.Threshold(num, den)
+    for round_ in range(12):
+        sets = []
+        for _ in range(6):
+            base = rng.integers(0, 1 << 60, rng.choice([1, 3, 12, 60]), np.int64)
+            for _ in range(rng.integers(1, 40)):
+                own = base[rng.random(len(base)) > rng.choice([0.0, 0.03, 0.1])]
+                sets.append(np.unique(np.concatenate((own, rng.integers(0, 1 << 60, rng.integers(0, 3), np.int64)))).astype(np.uint64))
+        side = rng.integers(1, 3, len(sets)) if sides else None
+        pairs = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if not sides or side[a] != side[b]]
+        true = [(a, b) for a, b in pairs if (k := len(np.intersect1d(sets[a], sets[b]))) and den * k >= num * (len(sets[a]) + len(sets[b]) - k)]
+        found = jaccard_join.linked(sets, least, side)
+        assert {(min(p), max(p)) for p in found} <= set(true)
+        assert roots(range(len(sets)), found) == roots(range(len(sets)), true)
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (8, 10), (5, 10)])
+def test_linked_sets_post_a_segment_in_common(num, den):
+    rng = np.random.default_rng(9)
+    least, links = jaccard_join.Threshold(num, den), 0
+    for n in [*range(1, 60), 200, 999]:
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 1 << 63, n, np.int64))
+            drop, add = rng.integers(0, max(1, n // 3), 2)
+            b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add, np.int64))))
+            if den * (len(a) - drop) >= num * (n + add) and len(b):
+                links += 1
+                assert np.isin(*[jaccard_join.signatures(x.astype(np.uint64), least) for x in (a, b)]).any()
+    assert links > 300
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 37, 5])
+def test_shingles_are_those_of_words(monkeypatch, piece):
+    monkeypatch.setattr(shingles, "PIECE", piece)
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcDE\t \x0b\n é漢\x1f\x00") for _ in range(rng.choice([0, 1, 2, 5, 9, 30, 80]))) for _ in range(800)]
+    texts += ["x" * 500, "a" * 200 + " b c d", "A b C d", "a B c D"]
+    for width in (1, 3, 5):
+        found = list(shingles.column_sets(pa.array([None, *texts]), width))[1:]
+        meaning = {}
+        for text, own in zip(texts, found):
+            assert len(own) == len(sets_of(text, width)) and own.tolist() == shingles.shingles(text, width).tolist()
+            for h in own.tolist():  # a hash stands for the shingles that all its texts have
+                meaning[h] = meaning.get(h, sets_of(text, width)) & sets_of(text, width)
+        assert all(meaning.values()) and len(meaning) == len(set().union(*[sets_of(t, width) for t in texts]))
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_join_of_large_groups_below_the_threshold(spark, monkeypatch, block):
+    """Near copies of one text of which few link, dealt into blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(80)]
+    texts = {}
+    for i in range(160):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(40)}"
+        texts[i] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    expected, links = brute(texts, 3, 90, 100)
+    assert 20 < len(set(expected.values())) < 140 and len(links) > 100
+    assert {r.doc_id: r.component_id for r in jaccard_join.grouped(df, width=3, num=90, den=100).collect()} == expected
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    rows = [(5, "a b c d e f g"), (5, "h i j k l m n"), (3, "a b c d e f g"), (9, "h i j k l m n"), (7, "o p q r")]
+    found = jaccard_join.grouped(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=9, den=10).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(3, 3), (5, 3), (5, 3), (7, 7), (9, 3)]
 
 
 def test_join_odd_rows(spark):

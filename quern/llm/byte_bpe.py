@@ -54,50 +54,67 @@ def merged(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 class Transducer:
     """Lazily determinised transducer from bytes to token ids.
 
-    A position is live while some vocabulary string may still run from it over the next byte. A state is the bytes from
-    the first live position on, with the last token at each live position; a move yields the state after one more
-    byte and the length of the last token there. Tokens are emitted once all live positions agree on them.
+    The vocabulary strings form a tree of prefixes. A place in the input is live while the bytes since then are a proper
+    prefix of some vocabulary string. A state is the node of each live place, in order, with the last token before it; a
+    move yields the state after one more byte and the length of the last token there. Tokens are emitted once all live
+    places agree on them.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 1 << 17, most_pairs: int = 1 << 19):
-        self.ranks, self.most_states = ranks, most_states
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.pairs: Memo = Memo(self._joined_apart, most_pairs, 2)
+    def __init__(self, ranks: dict[bytes, int], most_moves: int = 1 << 19, most_pairs: int = 1 << 19):
+        self.ranks, self.most_moves = ranks, most_moves
+        self.tokens = {rank: token for token, rank in ranks.items()}
+        #: By node: the node of each next byte, the token that ends here (or None), and how deep it lies.
+        self.next: list[dict[int, int]] = [{}]
+        self.token: list[int | None] = [None]
+        self.depth = [0]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                below = self.next[node]
+                if byte not in below:
+                    below[byte] = len(self.next)
+                    self.next.append({})
+                    self.token.append(None)
+                    self.depth.append(self.depth[node] + 1)
+                node = below[byte]
+            self.token[node] = rank
+        self.apart: Memo = Memo(self._stay_apart, most_pairs, 2)
         self.forget()
 
     def forget(self) -> None:
         """Back to the start state alone; what is known of pairs stays."""
-        start = (b"", ((0, None),))
+        start = ((0, None),)
         self.numbers: dict[tuple, int] = {start: 0}
         self.states: list[tuple] = [start]
-        self.moves: list[dict[int, tuple[int, int]]] = [{}]
+        self.moves: dict[int, tuple[int, int]] = {}
 
-    def _joined_apart(self, pair: tuple[bytes, bytes]) -> bool:
-        return merged(pair[0] + pair[1], self.ranks) == list(pair)
+    def _stay_apart(self, pair: tuple[int, int]) -> bool:
+        left, right = self.tokens[pair[0]], self.tokens[pair[1]]
+        return merged(left + right, self.ranks) == [left, right]
 
     def _move(self, state: int, byte: int) -> tuple[int, int]:
-        held, live = self.states[state]
-        held += bytes((byte,))
-        for at, before in live:
-            token = held[at:]
-            if token in self.ranks and (before is None or self.pairs[(before, token)]):
-                break
-        else:
+        live, last = [], -1
+        for node, before in self.states[state]:  # the earliest place, and so the longest token, comes first
+            below = self.next[node].get(byte)
+            if below is None:
+                continue
+            if last < 0 and (token := self.token[below]) is not None and (before is None or self.apart[before, token]):
+                last, length = token, self.depth[below]
+            if self.next[below]:
+                live.append((below, before))
+        if last < 0:
             raise ValueError("no tokenisation: the vocabulary lacks a byte")
-        live = (*((at, before) for at, before in live if held[at:] in self.prefixes), (len(held), token))
-        first = live[0][0]
-        new = (held[first:], tuple((at - first, before) for at, before in live))
+        live.append((0, last))
+        new = tuple(live)
         number = self.numbers.setdefault(new, len(self.states))
         if number == len(self.states):
             self.states.append(new)
-            self.moves.append({})
-        move = self.moves[state][byte] = (number, len(token))
+        move = self.moves[state << 8 | byte] = (number, length)
         return move
 
     def _settled(self, state: int, lengths: list[int]) -> int:
         """How many of the bytes so far belong to tokens that no continuation can change."""
-        held, live = self.states[state]
-        ends = {len(lengths) - len(held) + at for at, _ in live}
+        ends = {len(lengths) - self.depth[node] for node, _ in self.states[state]}
         while len(ends) > 1:
             last = max(ends)
             ends.remove(last)
@@ -117,13 +134,13 @@ class Transducer:
         """Ids of one match of the splitting pattern."""
         if data in self.ranks:
             return (self.ranks[data],)
-        if len(self.states) > self.most_states:
+        if len(self.moves) > self.most_moves:
             self.forget()
         out: list[int] = []
-        state, lengths, moves = 0, [], self.moves
+        state, lengths, known = 0, [], self.moves.get
         for at in range(0, len(data), step):
             for byte in data[at : at + step]:
-                state, length = moves[state].get(byte) or self._move(state, byte)
+                state, length = known(state << 8 | byte) or self._move(state, byte)
                 lengths.append(length)
             if at + step < len(data):
                 begun = at + step - len(lengths) + (done := self._settled(state, lengths))
@@ -203,7 +220,7 @@ class Codec:
         self.any_find = regex.compile(pattern).findall
         self.latin_find = latin_pattern(pattern)
         self.transducer = Transducer(ranks)
-        self.memo = Memo(lambda match: self.transducer.encode(match.encode()), 1 << 18)
+        self.memo = Memo(lambda match: self.transducer.encode(match.encode()), 1 << 19)
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes[rank] = token

@@ -48,7 +48,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, key: str, label: st
 
 
 class Memo(dict):
-    """A dict that computes missing values and forgets everything when it holds `most` entries.
+    """A dict that computes missing values. Holds `most` entries at most, in two halves: when the younger is full, it
+    becomes the older, whose entries are forgotten with the next change but for those that were asked for.
 
     Long keys are computed anew each time, so that memory stays within most * (longest + value) bytes.
     """
@@ -56,11 +57,15 @@ class Memo(dict):
     def __init__(self, compute, most: int = 1 << 18, longest: int = 64):
         super().__init__()
         self.compute, self.most, self.longest = compute, most, longest
+        self.older: dict = {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.older.get(key, self)  # itself: no value
+        if value is self:
+            value = self.compute(key)
         if len(key) <= self.longest:
-            if len(self) >= self.most:
+            if 2 * len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value

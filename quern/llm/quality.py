@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import labelled_sample, without
 
-#: Labelled rows that the rules are fitted on at most; chosen by a hash of the text, the same on every run.
+#: Labelled rows that the rules are fitted on, about; chosen by a hash of the id, the same on every run.
 LABELLED = 20_000
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 24, 3, 0.3, 32, 20
 PENALTY, STEPS = 0.0005, 400
@@ -144,10 +144,12 @@ def with_quality(df: DataFrame, rules: Rules, text: str = "text", least: float =
     """df with score and predicted (1 from `least` on); columns of df with these names are replaced.
 
     The statistics that rules use are columns of their own, so each is computed once for a text; they are dropped again.
+    A row number among them keeps a caller's filter on the score above them: pushed below, it would hold each statistic's
+    expression once for every bound of a rule.
     """
     used = {name for _, bounds in rules.rules for name, _, _ in bounds}
-    told = {f"__told_{n}": c for n, c in statistics(F.col(text)).items() if n in used}
+    told = {f"__told_{n}": c for n, c in statistics(F.col(text)).items() if n in used} | {"__told": F.monotonically_increasing_id()}
     out = without(df.withColumns(told), "score", "predicted")
     logit = rules.logit({n: F.col(f"__told_{n}") for n in used})
-    out = out.withColumn("score", 1 / (1 + F.exp(-logit))).drop(*told)
+    out = out.withColumn("score", F.when(F.col("__told") >= 0, 1 / (1 + F.exp(-logit)))).drop(*told)
     return out.withColumn("predicted", (F.col("score") >= least).cast("int"))

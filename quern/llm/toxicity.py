@@ -33,7 +33,7 @@ SEPARATORS = ".-_*~' "
 #: Costs of the channel, in nats: a sign read as a letter, and one read as itself.
 READ_AS, READ_SAME = 0.7, 6.0
 EDGE = "\0"
-#: Labelled rows that word weights are learned from at most; chosen by a hash of the text, the same on every run.
+#: Labelled rows that word weights are learned from, about; chosen by a hash of the id, the same on every run.
 LABELLED = 20_000
 #: A word or stem is evidence if it is so much likelier in labelled texts, beyond chance by this G statistic.
 LEAST_RATIO, LEAST_G = 8.0, 24.0

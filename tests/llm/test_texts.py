@@ -191,6 +191,15 @@ def test_rules_as_numpy(spark):
     assert np.allclose(logits, plain) and np.mean((np.array(plain) > 0) == y) > 0.97
 
 
+def test_filters_on_the_score_leave_statistics_alone(spark):
+    rules = quality.learn(queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels"))
+    assert sum(len(bounds) for _, bounds in rules.rules) > 20
+    scored = quality.with_quality(queries.table(spark, SF, "documents"), rules)
+    plan, filtered = (df._jdf.queryExecution().optimizedPlan().toString() for df in (scored, scored.where("predicted = 1").select("doc_id", "text")))
+    assert 1 <= filtered.count("RegExpReplace") + filtered.count("regexp") <= plan.count("RegExpReplace") + plan.count("regexp")
+    assert scored.where("predicted = 1").count() == sum(r.predicted for r in scored.collect())
+
+
 def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (5, 0), (6, 1), (None, 1)], "doc_id long, quality int")
     rules = quality.learn(odd(spark), labels)

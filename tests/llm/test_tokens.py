@@ -73,7 +73,7 @@ def test_state_machine_holds_back_unfinished_characters():
 
 
 def test_few_states_are_kept(coder):
-    small = byte_bpe.Transducer(coder.transducer.ranks, most_states=50)
+    small = byte_bpe.Transducer(coder.transducer.ranks, most_moves=50)
     for word in ("thingamabob", "erthanonthe", "schreibmaschine"):
         assert list(small.encode(word.encode())) == TIKTOKEN.encode_ordinary(word)
     assert len(small.states) < 200

@@ -46,7 +46,9 @@ SPARE = 0.3
 #: Sets and shingles of a block at most, but for one set.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Postings that a task packs at once.
-PACKED = 1 << 21
+PACKED = 1 << 19
+#: Texts whose sets a task holds at once.
+TEXTS = 512
 #: DivideSkip's weight of a probe against a merge step, and postings up to which lists are merged by a heap.
 PROBE, HEAP = 0.0085, 256
 
@@ -104,11 +106,18 @@ def signatures(found: np.ndarray, least: Threshold) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def _sets(width: int, least: Threshold):
     """Rows of id, size, digest of the set and its postings, from Arrow batches of id and text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, digests, posts = [], [], []
             for found in column_sets(batch.column(1), width):
                 sizes.append(len(found))
@@ -213,7 +222,7 @@ def _whole(width: int):
     """Rows of id and set, from Arrow batches of id and text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = [s.tobytes() for s in column_sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "z"])
 
@@ -307,25 +316,28 @@ def linked(sets: list[np.ndarray], least: Threshold, side: np.ndarray | None = N
 def _searched(least: Threshold):
     """Links (a, b) among rows of sets that come sorted by head and pair of blocks."""
 
-    def of_group(ids: list[int], packed: list[bytes], sides: list[int]) -> pd.DataFrame:
-        sets = [np.frombuffer(z, np.uint64) for z in packed]
-        side = np.array(sides)
-        found = linked(sets, least, side if side.any() else None)
-        return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"], dtype="int64")
+    def of_group(ids: list[int], sets: list[np.ndarray], sides: list[int]) -> pa.RecordBatch:
+        found = linked(sets, least, np.array(sides) if any(sides) else None)
+        return pa.RecordBatch.from_arrays([pa.array([ids[pair[i]] for pair in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[list, list, list] = ([], [], [])
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        sets: list[np.ndarray] = []
+        sides: list[int] = []
         last = None
         for batch in batches:
-            for key, *row in zip(zip(batch["head"], batch["i"], batch["j"]), batch["id"], batch["z"], batch["side"]):
+            columns = {name: batch.column(name) for name in ("head", "i", "j", "id", "side")}
+            keys = zip(*[columns[name].to_pylist() for name in ("head", "i", "j")])
+            for key, id_, side, packed in zip(keys, columns["id"].to_pylist(), columns["side"].to_pylist(), batch.column("z")):
                 if key != last:
-                    if len(held[0]) > 1:
-                        yield of_group(*held)
-                    held, last = ([], [], []), key
-                for mine, value in zip(held, row):
-                    mine.append(value)
-        if len(held[0]) > 1:
-            yield of_group(*held)
+                    if len(ids) > 1:
+                        yield of_group(ids, sets, sides)
+                    ids, sets, sides, last = [], [], [], key
+                ids.append(id_)
+                sets.append(np.frombuffer(packed.as_buffer(), np.uint64))
+                sides.append(side)
+        if len(ids) > 1:
+            yield of_group(ids, sets, sides)
 
     return rows
 
@@ -362,7 +374,7 @@ def links(texts: DataFrame, sets: DataFrame, width: int, least: Threshold) -> Da
     whole = texts.join(wanted, "id", "left_semi").select("id", "t").mapInArrow(_whole(width), "id long, z binary")
     group = ["head", "i", "j"]
     found = whole.join(few(placed), "id").repartition(parts, *group).sortWithinPartitions(*group)
-    return found.mapInPandas(_searched(least), "a long, b long")
+    return found.mapInArrow(_searched(least), "a long, b long")
 
 
 def grouped(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:

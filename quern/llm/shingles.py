@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once (or one word, if it is longer).
-PIECE = 1 << 20
+PIECE = 1 << 18
 _RANDOM = np.random.Generator(np.random.PCG64(20_011)).integers(0, 1 << 63, 256, np.int64).view(np.uint64)
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32

@@ -4,8 +4,7 @@ A shard is one batch of documents in a task. Words of no benchmark item cannot b
 only stretches of benchmark words that are as long as the shortest window are indexed: as numbers, one after another
 with a separator. The index has the suffix order's last column (the BWT) in a wavelet matrix, and every eighth suffix
 position. All windows are searched backwards together; occurrences are located by walking to the next sampled
-position, and become spans of document words. Spans that overlap are merged
-by Spark's array functions.
+position, and become spans of document words; those that overlap are merged.
 
 Results for odd input: null texts and texts without words have 0 words and no hits; an item without words or without id
 has no window; repeated items count once for each id; a benchmark of any size is searched in blocks of items.
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import without
+from .components import cut
 
 WINDOW = 13
 #: Words of benchmark items that are searched at once: what the driver and each task hold of the benchmark.
@@ -197,27 +197,45 @@ def blocks(benchmark: DataFrame, item: str, text: str, most: int = BLOCK) -> Ite
         yield held
 
 
+def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch joined."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(set(spans)):
+        if out and out[-1][1] >= start:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def _said(spans: list[list[tuple[int, int]]]) -> list[list[dict[str, int]]]:
+    return [[{"start": a, "end": b} for a, b in merged_spans(s)] for s in spans]
+
+
 def _search(windows: Windows):
     """The UDF that searches texts for these windows."""
 
-    @F.pandas_udf("n_words long, spans array<struct<start:int,end:int>>, items array<string>")
+    @F.pandas_udf(f"n_words long, spans {SPANS}, items array<string>")
     def searched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             n_words, spans, items = windows.hits(texts.tolist())
-            spans = [[{"start": a, "end": b} for a, b in sorted(set(s))] for s in spans]
-            yield pd.DataFrame({"n_words": n_words, "spans": spans, "items": [sorted(x) for x in items]})
+            yield pd.DataFrame({"n_words": n_words, "spans": _said(spans), "items": [sorted(x) for x in items]})
 
     return searched
 
 
-def _merged_spans(name: str):
-    """Spans sorted by start, those that overlap or touch joined: an expression over array<struct<start,end>>."""
-    return F.expr(
-        f"""aggregate(array_sort({name}), cast(array() as array<struct<start:int,end:int>>), (done, s) ->
-            if(size(done) > 0 and element_at(done, -1).end >= s.start,
-               concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).start as start, greatest(element_at(done, -1).end, s.end) as end))),
-               concat(done, array(s))))"""
-    )
+def _merge():
+    """The UDF that merges the spans that several blocks have found."""
+
+    @F.pandas_udf(SPANS)
+    def merged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield pd.Series(_said([[(x["start"], x["end"]) for x in row] for row in rows]))
+
+    return merged
 
 
 def decontaminate(
@@ -226,24 +244,24 @@ def decontaminate(
 ) -> DataFrame:
     """df with n_words, spans (of words, merged), n_hit, items and contaminated; columns with these names are replaced.
 
-    contaminated: there is a hit, and one_in * n_hit >= n_words.
+    contaminated: there is a hit, and one_in * n_hit >= n_words. Of a benchmark of several blocks, the driver and each
+    task hold one at a time: what the block before has found is written before the next one is read.
     """
     out, found = without(df.withColumn("__text", F.col(text)), "n_words", "spans", "n_hit", "items", "contaminated"), []
-    for i, block in enumerate([*blocks(benchmark, item, item_text)] or [[]]):
-        out = out.withColumn(f"__found{i}", _search(Windows(block, window))(F.col("__text")))
-        found.append(f"__found{i}")
-    spans = ", ".join(f"{x}.spans" for x in found)
-    items = ", ".join(f"{x}.items" for x in found)
-    out = (
-        out.withColumns(
-            {
-                "n_words": F.col("__found0.n_words"),
-                "__all": F.expr(f"concat({spans})"),
-                "items": F.expr(f"array_sort(array_distinct(concat({items})))"),
-            }
-        )
-        .withColumn("spans", _merged_spans("__all"))
-        .withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"))
-        .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
+    for block in blocks(benchmark, item, item_text):
+        out = cut(out) if found else out
+        found.append(f"__found{len(found)}")
+        out = out.withColumn(found[-1], _search(Windows(block, window))(F.col("__text")))
+    if not found:
+        found, out = ["__found0"], out.withColumn("__found0", _search(Windows([], window))(F.col("__text")))
+    spans, items = (F.concat(*[F.col(f"{x}.{part}") for x in found]) for part in ("spans", "items"))
+    out = out.withColumns(
+        {
+            "n_words": F.col("__found0.n_words"),
+            "spans": F.col("__found0.spans") if len(found) == 1 else _merge()(spans),
+            "items": F.array_sort(F.array_distinct(items)),
+        }
     )
-    return out.drop("__text", "__all", *found)
+    out = out.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"))
+    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
+    return out.drop("__text", *found)

@@ -302,6 +302,7 @@ def pseudonymise(df: DataFrame, key: bytes, text: str = "text", counts: str | No
             yield pd.DataFrame(rows, columns=["text", "n"])
 
     df = without(df, counts) if counts else df
-    kept = [F.col(f"`{c}`") if c != text else F.col("__new.text").alias(text) for c in df.columns]
-    out = df.withColumn("__new", replaced(F.col(text)))
+    # Names are compared as Spark does, in any letter case, or the text itself would be passed on.
+    kept = [F.col("__new.text").alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in df.columns]
+    out = df.withColumn("__new", replaced(F.col(f"`{text}`")))
     return out.select(*kept, *([F.col("__new.n").alias(counts)] if counts else []))

@@ -110,6 +110,13 @@ def test_pseudonyms_odd_rows(spark):
     assert pseudonyms.pseudonymise(empty(spark), KEY, counts=None).count() == 0
 
 
+def test_pseudonyms_of_a_column_in_another_letter_case(spark):
+    df = spark.createDataFrame([(1, "write to ann.b@example.com", "x")], "ID long, TEXT string, other string")
+    out = pseudonyms.pseudonymise(df, KEY)
+    row = out.first()
+    assert out.columns == ["ID", "TEXT", "other", "n_private"] and row.n_private == 1 and "ann.b" not in row.TEXT and row.TEXT.startswith("write to ")
+
+
 # Toxicity
 
 
@@ -240,6 +247,22 @@ def test_decontamination_as_brute_force(spark, block, monkeypatch):
         assert r.contaminated == (hits > 0 and 20 * hits >= n) and all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
 
 
+def test_many_spans_of_one_text_are_merged_once():
+    rng = random.Random(4)
+    spans = [(a, a + rng.randrange(1, 9)) for a in (rng.randrange(400) for _ in range(120))]
+    covered = sorted({i for a, b in spans for i in range(a, b)})
+    merged = decontaminate.merged_spans([*spans, *spans])
+    assert [i for a, b in merged for i in range(a, b)] == covered and all(a[1] < b[0] for a, b in zip(merged, merged[1:]))
+    assert decontaminate.merged_spans([]) == []
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    bench = spark.createDataFrame([("q", " ".join(f"b{i}" for i in range(13)))], "item_id string, text string")
+    text = ("x " + " ".join(f"b{i}" for i in range(13)) + " ") * 20_000  # 280,000 words, 20,000 spans
+    row = decontaminate.decontaminate(spark.createDataFrame([(1, text)], "doc_id long, text string"), bench).select("n_words", "n_hit", F.size("spans").alias("k")).first()
+    assert (row.n_words, row.n_hit, row.k) == (280_000, 260_000, 20_000)
+
+
 def test_index_as_brute_force():
     rng = np.random.default_rng(3)
     numbers = rng.integers(1, 4, 400)

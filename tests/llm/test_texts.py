@@ -296,18 +296,54 @@ def test_blocks_of_broken_pages():
     assert html_text.blocks_of(None) == [] and html_text.blocks_of("plain  text") == [("b", "plain text")] and html_text.blocks_of("<p") == [("b", "<p")]
 
 
-def test_repeats_as_brute_force():
+@pytest.mark.parametrize("alone", [True, False])
+def test_windows_of_a_shard_as_brute_force(alone):
     rng = np.random.default_rng(4)
     for _ in range(20):
-        streams = [rng.integers(0, 3, rng.integers(0, 25)) for _ in range(4)]
-        marks = html_text.repeated(streams, 4)
-        for i, s in enumerate(streams):
-            other = {tuple(o[k : k + 4]) for j, o in enumerate(streams) if j != i for k in range(len(o) - 3)}
-            expected = np.zeros(len(s), bool)
-            for k in range(len(s) - 3):
-                if tuple(s[k : k + 4]) in other:
-                    expected[k : k + 4] = True
-            assert (marks[i] == expected).all()
+        pages = [[rng.integers(0, 3, rng.integers(1, 25)).astype(np.uint64) for _ in range(rng.integers(0, 3))] for _ in range(5)]
+        names = rng.permutation(5).tolist()
+        owners = {}
+        for page, name in zip(pages, names):
+            for s in page:
+                for h in html_text.windows(s, 4).tolist():
+                    owners.setdefault(h, set()).add(name)
+        found = {h: (a, b) for h, a, b in zip(*map(np.ndarray.tolist, html_text.told_windows(pages, names, alone, 4)))}
+        assert found == {h: (min(n), max(n)) for h, n in owners.items() if len(n) > 1 or not alone}
+    words = [tuple(rng.integers(0, 2, 4).tolist()) for _ in range(99)]
+    hashes = [int(html_text.windows(np.array(w, np.uint64), 4)[0]) for w in words]
+    assert len(set(words)) == len(set(hashes))
+
+
+@pytest.mark.parametrize(("markup", "text"), [
+    ("<div class='has-sidebar'><article><p>one</p></article></div>", "one"),
+    ("<div id='search-results'><article>one</article></div>", "one"),
+    ("<form action='/x'><div><main>one</main></div></form>", "one"),
+    ("<article><p class='share-price'>one</p><p class='notice-board'>two</p><i class='search-term'>x</i></article>", "one\ntwo\nx"),
+    ("<article><h2 id='header-files'>one</h2><section id='related-work'>two</section></article>", "one\ntwo"),
+    ("<article data-class='ad' title='a class=ad b'>one<div class='ad'>no</div><form>no</form><div class='big comments'>no</div></article>", "one"),
+    ("<article>one</article><div class='comments'><article>no</article></div><aside><article>no</article></aside>", "one"),
+    ("<nav><article>no</article></nav><div hidden><main>no</main></div><main role='main'>one</main>", "one"),
+    ("<article>one<section class='comments'><article>no</article></section></article>", "one"),
+])
+def test_chrome_by_whole_names(spark, markup, text):
+    row = html_text.extract(spark.createDataFrame([(1, "http://a/", markup)], "page_id long, url string, html string")).first()
+    assert row.text == text
+
+
+@pytest.mark.parametrize("words", [40, 400_000])
+def test_only_the_array_finds_boilerplate_of_unmarked_pages(spark, monkeypatch, words):
+    """Runs that distinct pages repeat are cut out of blocks, however the pages of a host are dealt; unique runs stay."""
+    monkeypatch.setattr(html_text, "WORDS", words)
+    run = " ".join(f"r{k}" for k in range(9))
+    rows = [(i, f"http://h/{i}", f"<p>{' '.join(f'a{i}x{k}' for k in range(9))} {run} b{i}</p>") for i in range(30)]
+    rows += [(100, "http://h/copy", "<p>stands on one page in two rows and so it is no boilerplate</p>")] * 2
+    rows += [(200, "http://g/1", f"<p>{run}</p>"), (201, "http://h/2", f"<article>own {run} words</article><p>{run}</p>")]
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        found = {r.page_id: r.text for r in html_text.extract(df).collect()}
+        assert all(found[i] == " ".join(f"a{i}x{k}" for k in range(9)) + f" b{i}" for i in range(30))
+        assert found[100] == "stands on one page in two rows and so it is no boilerplate"
+        assert found[200] == run and found[201] == f"own {run} words"
 
 
 def test_repeated_chrome_goes_where_no_article_is_marked(spark):

@@ -30,9 +30,12 @@ LOOKS = {
     "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c",
 }
 SEPARATORS = ".-_*~' "
-#: Costs of the channel, in nats: a sign read as a letter, and one read as itself.
-READ_AS, READ_SAME = 0.7, 6.0
-EDGE = "\0"
+#: Costs of the channel, in nats: a sign read as a letter, one read as itself, and a doubled letter read as one.
+READ_AS, READ_SAME, READ_ONCE = 0.7, 6.0, 0.7
+#: What stands around a word, and what stands for all letters without case, so that trigrams are those of alphabets.
+EDGE, OTHER = "\0", "\1"
+#: Letters of a spaced-out word: shorter ones aren't told from chance, and of longer ones the first so many tell.
+SPELLED = (3, 12)
 #: Labelled rows that word weights are learned from, about; chosen by a hash of the id, the same on every run.
 LABELLED = 20_000
 #: A word or stem is evidence if it is so much likelier in labelled texts, beyond chance by this G statistic.
@@ -42,7 +45,8 @@ NO_LABELS = 0.01
 
 SIGNS = "".join(re.escape(c) for c in LOOKS)
 SUSPECT = re.compile(
-    rf"[^\W\d_][{SIGNS}]+[^\W\d_]|[{SIGNS}][^\W\d_]{{2}}|[^\W\d_]{{2}}[{SIGNS}]$|([^\W\d_])\1\1|^(?:\w[{re.escape(SEPARATORS)}]+){{2,}}\w$"
+    rf"[^\W\d_][{SIGNS}]+[^\W\d_]|[{SIGNS}][^\W\d_]{{2}}|[^\W\d_]{{2}}[{SIGNS}]$|([^\W\d_])\1|[^\W\d_][.\-_*~][^\W\d_]"
+    rf"|^(?:[\w{SIGNS}][{re.escape(SEPARATORS)}]+){{2,}}[\w{SIGNS}]$"
 )
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "…«»“”‘’¡¿"
 
@@ -80,6 +84,8 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             reads = [("", 0.0)]
         elif n >= 3:
             reads = [(sign, 0.0), (sign * 2, 0.0)]
+        elif n == 2 and sign.isalpha():
+            reads = [(sign, READ_ONCE), (sign * 2, 0.0)]
         else:
             reads = [(sign * n, 0.0)]
         steps.append(reads)
@@ -128,25 +134,33 @@ def features_of(readings_: set[str]) -> set[str]:
     return readings_ | {f"{w[:k]}-" for w in readings_ for k in STEMS if len(w) > k}
 
 
-def spaced(words: list[str]) -> list[str]:
-    """Stretches of four or more single letters, joined as one word with blanks."""
-    out, held = [], []
+def spaced(words: list[str]) -> set[str]:
+    """Parts of stretches of single signs (or single ones in quotes, before a full stop and so on), joined by blanks.
+
+    A stretch may hold other single letters before and after a spelled word, so each of its parts may be one.
+    """
+    out: set[str] = set()
+    held: list[str] = []
+    least, most = SPELLED
     for w in [*words, ""]:
-        if len(w) == 1:
-            held.append(w)
-        else:
-            if len(held) >= 4 and len(set(held)) > 1:
-                out.append(" ".join(held))
+        sign = w if len(w) == 1 else w.strip(EDGES) if 1 < len(w) < 5 else ""
+        if len(sign) == 1:
+            held.append(sign)
+        elif held:
+            for at in range(len(held) - least + 1):
+                for end in range(at + least, min(len(held), at + most) + 1):
+                    if len(set(held[at:end])) > 1:
+                        out.add(" ".join(held[at:end]))
             held = []
     return out
 
 
 def text_words(text: str) -> set[str]:
-    """Distinct words, and the stretches of spaced letters."""
+    """Distinct words, and what may be spelled by spaced letters."""
     words = words_of(text)
     distinct = set(words)
     if sum(map((1).__eq__, map(len, distinct))) > 1:
-        distinct.update(spaced(words))
+        distinct |= spaced(words)
     return distinct
 
 
@@ -176,7 +190,8 @@ def telling(model: CharacterModel, weights: dict[str, float]):
 
 
 def learn_characters(df: DataFrame, text: str = "text") -> CharacterModel:
-    """Trigram counts of the words of all rows. Each task counts its own; the sums are as many as trigrams of letters."""
+    """Trigram counts of the words of all rows. Each task counts its own; the sums are those of trigrams of letters that
+    have case, which are bounded by the alphabets, whatever the number of rows."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = TrigramCounts()
@@ -188,10 +203,7 @@ def learn_characters(df: DataFrame, text: str = "text") -> CharacterModel:
 
     texts = df.select(F.col(text).alias("t")).where("t is not null")
     sums = texts.mapInPandas(counted, "a int, b int, c int, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
-    # Only frequent trigrams can change a reading: those of one in ten million letters.
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    rows = sums.where(F.col("n") * 10_000_000 > total).collect()
-    return CharacterModel({chr(r.a) + chr(r.b) + chr(r.c): r.n for r in rows})
+    return CharacterModel({chr(r.a) + chr(r.b) + chr(r.c): r.n for r in sums.collect()})
 
 
 class TrigramCounts:
@@ -200,7 +212,7 @@ class TrigramCounts:
     def __init__(self, letters: int = 96, piece: int = 1 << 20):
         self.piece, self.letters = piece, letters
         self.small = np.full(0x110000, -1, np.int32)  # -1: not met yet
-        self.points = [0]
+        self.points = [ord(EDGE), ord(OTHER)]
         self.dense = np.zeros(letters**3, np.int64)
         self.rest: dict[tuple[int, int, int], int] = {}
         self.held: list[str] = []
@@ -220,9 +232,10 @@ class TrigramCounts:
         found = self.small[points]
         if len(found) and found.min() < 0:
             for point in np.unique(points[found < 0]).tolist():
-                self.small[point] = len(self.points) if chr(point).isalpha() else 0
-                if self.small[point]:
-                    self.points.append(point)
+                letter = chr(point)
+                cased = letter.isalpha() and letter.upper() != letter
+                self.small[point] = len(self.points) if cased else int(letter.isalpha())
+                self.points += [point] * cased
             found = self.small[points]
         found = np.concatenate(([0, 0], found, [0])).astype(np.int64)
         a, b, c = found[:-2], found[1:-1], found[2:]

@@ -143,6 +143,39 @@ def test_restores_disguised_words():
         assert toxicity.restore(word, model) == best[0]
 
 
+@pytest.mark.parametrize("spelling", [
+    "i d i o t", "a i d i o t", "i d i o t.", "y I D I O T a b", "\"i d i o t\"", "1 d 1 0 t", "id-iot", "i.diot", "id_io-t", "iddiot", "idioott", "iiidiooot", "1d10t!", "m o r o n s t u p i d i d i o t",
+])
+def test_finds_words_however_spelled(spelling):
+    counts: dict[str, int] = {}
+    for word, n in {"idiot": 50, "stupid": 50, "there": 90, "than": 90, "and": 200, "middle": 40, "letter": 40, "is": 90, "an": 90}.items():
+        padded = "\0\0" + word + "\0"
+        for i in range(len(padded) - 2):
+            counts[padded[i : i + 3]] = counts.get(padded[i : i + 3], 0) + n
+    weights = {"idiot": 5.0}
+    model = toxicity.CharacterModel(counts)
+    memo = toxicity.Memo(toxicity.telling(model, weights))
+    for text in (spelling, f"there is an {spelling} than and", f"is a {spelling}. and"):
+        assert toxicity.evidence(text, memo)[0] == 5.0, text
+    for clean in ("there is a letter", "a b c d e f g", "i d o t", "id io t there", "the middle and-there"):
+        assert toxicity.evidence(clean, memo) == (0.0, 0.0, 0.0), clean
+
+
+def test_scores_as_plain_version(spark):
+    """Scores of a table against log odds, evidence and logistic sum that are computed word by word."""
+    weights, sums = {"idiot": 5.0, "stup-": 3.0, "moron": 4.0}, (-4.0, 1.5, 0.5, 0.25)
+    scorer = toxicity.Scorer(toxicity.CharacterModel({}), weights, sums)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["idiot", "stupid", "stupidly,", "(moron)", "fine", "day", "IDIOT!"]) for _ in range(rng.randrange(6))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    odds = {"idiot": 5.0, "stupid": 3.0, "stupidly": 3.0, "moron": 4.0}
+    for r in toxicity.with_toxicity(df, scorer).collect():
+        names = {"stup" if w.startswith("stup") else w: odds[w] for w in (x.strip("!,()").lower() for x in r.text.split()) if w in odds}
+        best = sorted(names.values(), reverse=True) + [0.0, 0.0]
+        logit = sums[0] + sums[1] * best[0] + sums[2] * best[1] + sums[3] * np.log1p(len(names))
+        assert abs(r.score - 1 / (1 + np.exp(-logit))) < 1e-12 and r.predicted == (r.score >= 0.5)
+
+
 def test_trigram_counts_as_brute_force():
     rng = random.Random(2)
     texts = ["".join(rng.choices("abcé .,漢1", k=rng.randrange(200))) for _ in range(30)]

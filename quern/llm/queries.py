@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, decontaminate, embeddings, html_text, jaccard_join, language_id, pseudonyms, quality, token_counts, toxicity
 from .common import held_out, table
+from .oracle import ORACLE_SQL  # noqa: F401  the SQL of these queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,5 +101,3 @@ QUERIES: dict[str, Query] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_html_text": op10_html_text,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -24,6 +24,36 @@ def test_language_held_out_accuracy(spark):
     assert share > 0.97
 
 
+def test_prototypes_and_cosines_as_brute_force(spark):
+    """Trigram by trigram: letters bound by permuting and multiplying, texts bundled with equal weight, cosines."""
+    dims, seed = 64, 3
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices(a + " .1", k=rng.randrange(200))), a[0]) for i, a in enumerate(["abcé", "abdx", "漢字ab"] * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+
+    def vector(text):
+        letters = [0, *(0 if c == " " else ord(c) for c in re.sub(r"[^\W\d_]+|[\W\d_]+", lambda m: m[0] if m[0][0].isalpha() else " ", text.lower()).strip()), 0]
+        out = np.zeros(dims)
+        own = lambda p: (np.random.Generator(np.random.PCG64([seed, p])).integers(0, 2, dims, np.int8) * 2 - 1).astype(float)
+        for a, b, c in zip(letters, letters[1:], letters[2:]):
+            if b:
+                out += np.roll(own(a), 2) * np.roll(own(b), 1) * own(c)
+        return out
+
+    sums = {}
+    for _, text, lang in rows:
+        sums[lang] = sums.get(lang, 0) + vector(text) / max(1, len(text))
+    learned = language_id.learn(df, dims=dims, seed=seed)
+    assert set(learned) == set(sums)
+    for lang, v in sums.items():
+        assert np.allclose(learned[lang], v / np.linalg.norm(v), atol=1e-3)
+    for r in language_id.identify(df, learned, dims=dims, seed=seed).collect():
+        v = vector(r.text)
+        cosines = {lang: float(v @ np.array(p) / np.linalg.norm(v)) if v.any() else 0.0 for lang, p in learned.items()}
+        assert abs(r.score - max(0.0, max(cosines.values()))) < 1e-3
+        assert r.lang_pred == ("und" if not any(c.isalpha() for c in r.text) else max(sorted(cosines), key=cosines.get))
+
+
 def test_language_odd_rows(spark):
     learned = language_id.learn(odd(spark))
     assert set(learned) <= {"en", "de", "fr"}

@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,10 @@ from pyspark.sql import types as T
 from .common import Memo, without
 
 
+#: Texts whose ids a task holds at once.
+TEXTS = 256
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and ranks of a rank file."""
     with open(path, "rb") as lines:
@@ -60,20 +65,21 @@ class Transducer:
     places agree on them.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_moves: int = 1 << 19, most_pairs: int = 1 << 19):
+    def __init__(self, ranks: dict[bytes, int], most_moves: int = 1 << 18, most_pairs: int = 1 << 19):
         self.ranks, self.most_moves = ranks, most_moves
         self.tokens = {rank: token for token, rank in ranks.items()}
         #: By node: the node of each next byte, the token that ends here (or None), and how deep it lies.
+        none: dict[int, int] = {}  # most nodes are leaves, and share this
         self.next: list[dict[int, int]] = [{}]
         self.token: list[int | None] = [None]
         self.depth = [0]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                below = self.next[node]
+                below = self.next[node] = self.next[node] or {}
                 if byte not in below:
                     below[byte] = len(self.next)
-                    self.next.append({})
+                    self.next.append(none)
                     self.token.append(None)
                     self.depth.append(self.depth[node] + 1)
                 node = below[byte]
@@ -249,12 +255,19 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path]
 
 
+def _slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The same rows, few at a time, so that the ids of few texts are held at once."""
+    for batch in batches:
+        for at in range(0, len(batch), TEXTS):
+            yield batch.iloc[at : at + TEXTS]
+
+
 def _ids(ranks_path: str, pattern: str):
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(ranks_path, pattern)
-        for texts in batches:
-            yield pd.Series([own.encode(t or "") for t in texts])
+        for texts in _slices(batches):
+            yield pd.Series([np.array(own.encode(t or ""), np.int32) for t in texts], dtype=object)
 
     return encoded
 
@@ -286,7 +299,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     @F.pandas_udf(kind)
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(ranks_path, pattern)
-        for texts in batches:
+        for texts in _slices(batches):
             rows = []
             for t in texts:
                 found = own.encode(t or "")
@@ -294,7 +307,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
                 for part in decode_stream(found, own.bytes):
                     back.update(part.encode())
                 said = hashlib.sha256(" ".join(map(own.names.__getitem__, found)).encode()).hexdigest()
-                rows.append((len(found), said, back.hexdigest(), *([found] if ids else [])))
+                rows.append((len(found), said, back.hexdigest(), *([np.array(found, np.int32)] if ids else [])))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])])
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]

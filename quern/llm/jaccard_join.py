@@ -45,8 +45,10 @@ RANGE = 1.5
 SPARE = 0.3
 #: Sets and shingles of a block at most, but for one set.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
-#: Postings that a task packs at once.
-PACKED = 1 << 19
+#: Postings that a task packs at once, and of one row; parts of a partition, which is searched part by part.
+PACKED, ROW, PARTS = 1 << 19, 128, 8
+#: Shingles of one row of a set that is sent.
+PIECE = 1024
 #: Texts whose sets a task holds at once.
 TEXTS = 512
 #: DivideSkip's weight of a probe against a merge step, and postings up to which lists are merged by a heap.
@@ -157,10 +159,11 @@ def _packed(parts: int):
         part = ((every[starts] & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         by_part = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[by_part], np.arange(parts + 1))
-        rows = [
-            (p, _apart(every[starts[at]]) + _apart(least_owner[at]) + several[at].tobytes())
-            for p in range(parts) if len(at := by_part[edges[p] : edges[p + 1]])
-        ]
+        rows = []
+        for p in range(parts):
+            for low in range(edges[p], edges[p + 1], ROW):  # small rows, since batches hold a number of rows
+                at = by_part[low : min(low + ROW, edges[p + 1])]
+                rows.append((p, _apart(every[starts[at]]) + _apart(least_owner[at]) + several[at].tobytes()))
         yield pd.DataFrame(rows, columns=["p", "data"]).assign(s=None, rep=None)
         if other.any():
             yield pd.DataFrame({"p": None, "data": None, "s": every[other].view(np.int64), "rep": owner[other]})
@@ -218,13 +221,20 @@ def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield done()
 
 
-def _whole(width: int):
-    """Rows of id and set, from Arrow batches of id and text."""
+def _whole(width: int, piece: int):
+    """Rows of id, piece of the set, its place, and a number that tells sets of one id apart, from batches of id and text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            found = [s.tobytes() for s in column_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "z"])
+            ids, pieces, places, numbers = [], [], [], []
+            for id_, found in zip(batch.column(0).to_pylist(), column_sets(batch.column(1), width)):
+                number = int(found.sum().view(np.int64))
+                for k in range(0, len(found), piece):
+                    ids.append(id_)
+                    pieces.append(found[k : k + piece].tobytes())
+                    places.append(k)
+                    numbers.append(number)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pieces, pa.binary()), pa.array(places, pa.int64()), pa.array(numbers, pa.int64())], ["id", "z", "k", "u"])
 
     return rows
 
@@ -316,28 +326,33 @@ def linked(sets: list[np.ndarray], least: Threshold, side: np.ndarray | None = N
 def _searched(least: Threshold):
     """Links (a, b) among rows of sets that come sorted by head and pair of blocks."""
 
-    def of_group(ids: list[int], sets: list[np.ndarray], sides: list[int]) -> pa.RecordBatch:
+    def of_group(ids: list[int], pieces: list[list[np.ndarray]], sides: list[int]) -> pa.RecordBatch:
+        sets = [p[0] if len(p) == 1 else np.concatenate(p) for p in pieces]
         found = linked(sets, least, np.array(sides) if any(sides) else None)
         return pa.RecordBatch.from_arrays([pa.array([ids[pair[i]] for pair in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
-        sets: list[np.ndarray] = []
+        pieces: list[list[np.ndarray]] = []
         sides: list[int] = []
-        last = None
+        last = row = None
         for batch in batches:
-            columns = {name: batch.column(name) for name in ("head", "i", "j", "id", "side")}
-            keys = zip(*[columns[name].to_pylist() for name in ("head", "i", "j")])
-            for key, id_, side, packed in zip(keys, columns["id"].to_pylist(), columns["side"].to_pylist(), batch.column("z")):
+            head, i, j, id_, u, k, side = (batch.column(name).to_pylist() for name in ("head", "i", "j", "id", "u", "k", "side"))
+            for *key, own, number, place, where, packed in zip(head, i, j, id_, u, k, side, batch.column("z")):
+                before, row = row, (key, own, number, place)
+                if before == row:
+                    continue  # a row that comes again
                 if key != last:
                     if len(ids) > 1:
-                        yield of_group(ids, sets, sides)
-                    ids, sets, sides, last = [], [], [], key
-                ids.append(id_)
-                sets.append(np.frombuffer(packed.as_buffer(), np.uint64))
-                sides.append(side)
+                        yield of_group(ids, pieces, sides)
+                    ids, pieces, sides, last = [], [], [], key
+                if not place:
+                    ids.append(own)
+                    pieces.append([])
+                    sides.append(where)
+                pieces[-1].append(np.frombuffer(packed.as_buffer(), np.uint64))
         if len(ids) > 1:
-            yield of_group(ids, sets, sides)
+            yield of_group(ids, pieces, sides)
 
     return rows
 
@@ -348,7 +363,7 @@ def links(texts: DataFrame, sets: DataFrame, width: int, least: Threshold) -> Da
     own = sets.where("n > 0 AND id IS NOT NULL")
     copies = cut(own.groupBy("g", "n").agg(F.min("id").alias("rep")).join(own.select("id", "g", "n").distinct(), ["g", "n"]).where("id != rep").select("id", "g"))
     reps = own.join(few(copies), ["id", "g"], "left_anti").select(F.col("id").alias("rep"), "posts")
-    posts = cut(reps.mapInPandas(_packed(parts), "p long, data binary, s long, rep long"))
+    posts = cut(reps.mapInPandas(_packed(PARTS * parts), "p long, data binary, s long, rep long"))
     met = posts.where("p is not null").select("p", "data").repartition(parts, "p").sortWithinPartitions("p")
     met = cut(met.mapInPandas(_met, "s long, rep long, head long"))
     followers = posts.where("s is not null").select("s", "rep").join(met.where("s is not null").select("s", "head"), "s")
@@ -371,9 +386,9 @@ def links(texts: DataFrame, sets: DataFrame, width: int, least: Threshold) -> Da
         )
     )
     wanted = few(cut(placed.select("id").distinct()))
-    whole = texts.join(wanted, "id", "left_semi").select("id", "t").mapInArrow(_whole(width), "id long, z binary")
+    whole = texts.join(wanted, "id", "left_semi").select("id", "t").mapInArrow(_whole(width, PIECE), "id long, z binary, k long, u long")
     group = ["head", "i", "j"]
-    found = whole.join(few(placed), "id").repartition(parts, *group).sortWithinPartitions(*group)
+    found = whole.join(few(placed), "id").repartition(parts, *group).sortWithinPartitions(*group, "id", "u", "k")
     return found.mapInArrow(_searched(least), "a long, b long")
 
 

@@ -144,6 +144,16 @@ def test_join_of_large_groups_below_the_threshold(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in jaccard_join.grouped(df, width=3, num=90, den=100).collect()} == expected
 
 
+def test_sets_are_sent_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PIECE", 3)
+    rng = random.Random(13)
+    texts = {i: " ".join(f"w{i // 4}_{k}" for k in range(30) if k != i % 4 * 29) for i in range(40)}
+    rows = [*texts.items(), (7, texts[7]), (8, texts[8]), (8, texts[8])]  # rows that come again
+    rng.shuffle(rows)
+    expected, links = brute(texts, 3, 80, 100)
+    assert links and {r.doc_id: r.component_id for r in jaccard_join.grouped(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=80, den=100).collect()} == expected
+
+
 def test_rows_of_one_id_are_one_document(spark):
     rows = [(5, "a b c d e f g"), (5, "h i j k l m n"), (3, "a b c d e f g"), (9, "h i j k l m n"), (7, "o p q r")]
     found = jaccard_join.grouped(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=9, den=10).collect()

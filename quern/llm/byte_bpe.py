@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -255,19 +256,25 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path]
 
 
-def _slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The same rows, few at a time, so that the ids of few texts are held at once."""
+def _slices(batches: Iterator[pa.Array]) -> Iterator[list[str | None]]:
+    """The texts of Arrow arrays, few at a time, so that the ids of few texts are held at once."""
     for batch in batches:
         for at in range(0, len(batch), TEXTS):
-            yield batch.iloc[at : at + TEXTS]
+            yield batch.slice(at, TEXTS).to_pylist()
+
+
+def _lists(ids: list[list[int]]) -> pa.Array:
+    """Lists of ids as one Arrow array."""
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))))
 
 
 def _ids(ranks_path: str, pattern: str):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(ranks_path, pattern)
         for texts in _slices(batches):
-            yield pd.Series([np.array(own.encode(t or ""), np.int32) for t in texts], dtype=object)
+            yield _lists([own.encode(t or "") for t in texts])
 
     return encoded
 
@@ -296,19 +303,22 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     """
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
 
-    @F.pandas_udf(kind)
-    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(kind)
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(ranks_path, pattern)
         for texts in _slices(batches):
-            rows = []
+            every, said, decoded = [], [], []
             for t in texts:
                 found = own.encode(t or "")
                 back = hashlib.sha256()
                 for part in decode_stream(found, own.bytes):
                     back.update(part.encode())
-                said = hashlib.sha256(" ".join(map(own.names.__getitem__, found)).encode()).hexdigest()
-                rows.append((len(found), said, back.hexdigest(), *([np.array(found, np.int32)] if ids else [])))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])])
+                said.append(hashlib.sha256(" ".join(map(own.names.__getitem__, found)).encode()).hexdigest())
+                decoded.append(back.hexdigest())
+                every.append(found)
+            columns = {"n_tokens": pa.array(map(len, every), pa.int64()), "ids_sha256": pa.array(said, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+            columns |= {"ids": _lists(every)} if ids else {}
+            yield pa.StructArray.from_arrays([*columns.values()], [*columns])
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
     out = without(df.withColumn("__coded", coded(F.col(text))), *names, *([ids] if ids else []))

@@ -66,7 +66,7 @@ class Transducer:
     places agree on them.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_moves: int = 1 << 18, most_pairs: int = 1 << 19):
+    def __init__(self, ranks: dict[bytes, int], most_moves: int = 1 << 17, most_pairs: int = 1 << 19):
         self.ranks, self.most_moves = ranks, most_moves
         self.tokens = {rank: token for token, rank in ranks.items()}
         #: By node: the node of each next byte, the token that ends here (or None), and how deep it lies.
@@ -227,7 +227,7 @@ class Codec:
         self.any_find = regex.compile(pattern).findall
         self.latin_find = latin_pattern(pattern)
         self.transducer = Transducer(ranks)
-        self.memo = Memo(lambda match: self.transducer.encode(match.encode()), 1 << 19)
+        self.memo = Memo(lambda match: self.transducer.encode(match.encode()), 1 << 18, met=1 << 23)
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes[rank] = token
@@ -239,6 +239,11 @@ class Codec:
             return self.latin_find(text)
         return self.any_find(text)
 
+    def rest(self) -> None:
+        """Give back the memory that is soon filled again; called when a task ends, as the worker may do other work then."""
+        self.memo.older = {}
+        self.transducer.forget()
+
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.memo.__getitem__, self.find(text))))
 
@@ -275,6 +280,7 @@ def _ids(ranks_path: str, pattern: str):
         own = codec(ranks_path, pattern)
         for texts in _slices(batches):
             yield _lists([own.encode(t or "") for t in texts])
+        own.rest()
 
     return encoded
 
@@ -319,6 +325,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
             columns = {"n_tokens": pa.array(map(len, every), pa.int64()), "ids_sha256": pa.array(said, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
             columns |= {"ids": _lists(every)} if ids else {}
             yield pa.StructArray.from_arrays([*columns.values()], [*columns])
+        own.rest()
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
     out = without(df.withColumn("__coded", coded(F.col(text))), *names, *([ids] if ids else []))

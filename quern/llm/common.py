@@ -51,18 +51,34 @@ class Memo(dict):
     """A dict that computes missing values. Holds `most` entries at most, in two halves: when the younger is full, it
     becomes the older, whose entries are forgotten with the next change but for those that were asked for.
 
-    Long keys are computed anew each time, so that memory stays within most * (longest + value) bytes.
+    Long keys are computed anew each time, so that memory stays within most * (longest + value) bytes. met: a number of
+    bits (a power of two) that tell which keys were asked for before; only these are held, as most keys come once.
     """
 
-    def __init__(self, compute, most: int = 1 << 18, longest: int = 64):
+    def __init__(self, compute, most: int = 1 << 18, longest: int = 64, met: int = 0):
         super().__init__()
         self.compute, self.most, self.longest = compute, most, longest
         self.older: dict = {}
+        self.met = bytearray(met // 8)
+        self.n_met = 0
+
+    def _first(self, key) -> bool:
+        """Whether a key is asked for the first time, as far as the bits tell; they are cleared when a quarter is set."""
+        place = hash(key) & (8 * len(self.met) - 1)
+        if self.met[place >> 3] >> (place & 7) & 1:
+            return False
+        self.n_met += 1
+        if 4 * self.n_met > 8 * len(self.met):
+            self.met, self.n_met = bytearray(len(self.met)), 0
+        self.met[place >> 3] |= 1 << (place & 7)
+        return True
 
     def __missing__(self, key):
         value = self.older.get(key, self)  # itself: no value
         if value is self:
             value = self.compute(key)
+            if self.met and self._first(key):
+                return value
         if len(key) <= self.longest:
             if 2 * len(self) >= self.most:
                 self.older = dict(self)

@@ -17,7 +17,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -289,17 +289,22 @@ def pseudonymised(text: str, key: bytes) -> tuple[str, list[str]]:
     return ("".join([*parts, text[at:]]), kinds) if kinds else (text, [])
 
 
+#: Texts that a task holds at once.
+TEXTS = 256
+
+
 def pseudonymise(df: DataFrame, key: bytes, text: str = "text", counts: str | None = "n_private") -> DataFrame:
     """df with its text column replaced, and the number of findings in `counts` (None: left out).
 
     The text keeps its place among the columns; a column of df named as `counts` is replaced.
     """
 
-    @F.pandas_udf("text string, n long")
-    def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = [(None, 0) if t is None else ((p := pseudonymised(t, key))[0], len(p[1])) for t in texts]
-            yield pd.DataFrame(rows, columns=["text", "n"])
+    @F.arrow_udf("text string, n long")
+    def replaced(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for at in range(0, len(batch), TEXTS):  # few texts at a time
+                rows = [(None, 0) if t is None else ((p := pseudonymised(t, key))[0], len(p[1])) for t in batch.slice(at, TEXTS).to_pylist()]
+                yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["text", "n"])
 
     df = without(df, counts) if counts else df
     # Names are compared as Spark does, in any letter case, or the text itself would be passed on.

@@ -28,6 +28,7 @@ import hashlib
 import heapq
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -188,37 +189,66 @@ def _packed(parts: int):
     return arrow
 
 
-def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of one part of the packed postings: (rep, head) of those that share a segment, and (s, head) for their followers."""
-    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    part = None
+def _met(parts: int):
+    """Of the packed postings of a task: pairs (rep, head) of those that share a segment, packed by a part of rep, and rows
+    (s, head) for the followers of segments."""
 
-    def done() -> pd.DataFrame:
+    def of_part(kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, pd.DataFrame]:
         every, owner, several = (np.concatenate(x) for x in zip(*kept))
         order = np.lexsort((owner, every))
         every, owner, several = every[order], owner[order], several[order]
         starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-        sizes = np.diff(np.append(starts, len(every)))
-        head = np.repeat(owner[starts], sizes)
-        star = np.unique(np.stack((owner, head), 1)[owner != head], axis=0)
+        head = np.repeat(owner[starts], np.diff(np.append(starts, len(every))))
         followed = starts[np.logical_or.reduceat(several, starts)]
-        return pd.DataFrame(
-            {
-                "s": pd.array([*[None] * len(star), *every[followed].view(np.int64).tolist()], "Int64"),
-                "rep": pd.array([*star[:, 0].tolist(), *[None] * len(followed)], "Int64"),
-                "head": np.concatenate((star[:, 1], owner[followed])),
-            }
-        )
+        return np.stack((owner, head), 1)[owner != head], pd.DataFrame({"s": every[followed].view(np.int64), "head": owner[followed]})
+
+    def packed(pairs: np.ndarray) -> pd.DataFrame:
+        pairs = np.unique(pairs, axis=0)
+        part = (scramble(pairs[:, 0].astype(np.uint64)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        pairs = pairs[np.argsort(part, kind="stable")]
+        edges = np.searchsorted(np.sort(part), np.arange(parts + 1))
+        cells = [(p, low, min(low + ROW, edges[p + 1])) for p in range(parts) for low in range(edges[p], edges[p + 1], ROW)]
+        return pd.DataFrame({"q": [p for p, _, _ in cells], "data": [pairs[low:high].tobytes() for _, low, high in cells]}, columns=["q", "data", "s", "head"])
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        pairs, size, part = [], 0, None
+        for batch in chain(batches, [None]):
+            for p, data in zip(batch["p"], batch["data"]) if batch is not None else [(None, b"")]:
+                if p != part and kept:
+                    own, followed = of_part(kept)
+                    kept.clear()
+                    pairs.append(np.unique(own, axis=0))
+                    size += len(pairs[-1])
+                    if len(followed):
+                        yield followed.assign(q=None, data=None)[["q", "data", "s", "head"]]
+                if size and (size >= PACKED or batch is None):
+                    yield packed(np.concatenate(pairs))
+                    pairs, size = [], 0
+                part, n = p, len(data) // 17
+                if n:
+                    kept.append((_together(data[: 8 * n], np.uint64), _together(data[8 * n : 16 * n], np.int64), np.frombuffer(data[16 * n :], bool)))
+
+    def whole_numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for out in rows(batches):
+            yield out.astype({"q": "Int64", "s": "Int64", "head": "Int64"})
+
+    return whole_numbers
+
 
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct pairs (rep, head) that were packed for the parts of this task."""
+    pairs, size = np.zeros((0, 2), np.int64), 0
+    held: list[np.ndarray] = []
     for batch in batches:
-        for p, data in zip(batch["p"], batch["data"]):
-            if p != part and kept:
-                yield done()
-                kept.clear()
-            part, n = p, len(data) // 17
-            kept.append((_together(data[: 8 * n], np.uint64), _together(data[8 * n : 16 * n], np.int64), np.frombuffer(data[16 * n :], bool)))
-    if kept:
-        yield done()
+        for data in batch["data"]:
+            held.append(np.frombuffer(data, np.int64).reshape(-1, 2))
+            size += len(held[-1])
+            if size > max(PACKED, 2 * len(pairs)):
+                pairs = np.unique(np.concatenate((pairs, *held)), axis=0)
+                held, size = [], 0
+    pairs = np.unique(np.concatenate((pairs, *held)), axis=0)
+    yield pd.DataFrame({"rep": pairs[:, 0], "head": pairs[:, 1]})
 
 
 def _whole(width: int, piece: int):
@@ -365,9 +395,10 @@ def links(texts: DataFrame, sets: DataFrame, width: int, least: Threshold) -> Da
     reps = own.join(few(copies), ["id", "g"], "left_anti").select(F.col("id").alias("rep"), "posts")
     posts = cut(reps.mapInPandas(_packed(PARTS * parts), "p long, data binary, s long, rep long"))
     met = posts.where("p is not null").select("p", "data").repartition(parts, "p").sortWithinPartitions("p")
-    met = cut(met.mapInPandas(_met, "s long, rep long, head long"))
+    met = cut(met.mapInPandas(_met(parts), "q long, data binary, s long, head long"))
+    pairs = met.where("q is not null").select("q", "data").repartition(parts, "q").mapInPandas(_stars, "rep long, head long")
     followers = posts.where("s is not null").select("s", "rep").join(met.where("s is not null").select("s", "head"), "s")
-    stars = met.where("rep is not null").select("rep", "head").union(followers.select("rep", "head").where("rep != head")).distinct()
+    stars = pairs.union(followers.select("rep", "head").where("rep != head")).distinct()
     stars = cut(stars)
     forget(posts, met, copies)
 

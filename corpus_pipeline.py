@@ -16,6 +16,12 @@ from quern.llm.components import cut
 from quern.llm.queries import SAMPLE_KEY
 
 
+def wide_rows(spark: SparkSession) -> None:
+    """Whole texts are wide rows: batches that go to Python hold fewer of them than Spark's default of 10,000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, str(min(1_000, int(spark.conf.get(name)))))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules, learned from labelled ones, don't reject."""
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
@@ -24,23 +30,29 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles are similar to 0.8 or more."""
+    """One document of each group whose sets of five-word shingles are similar to 0.8 or more: the one of the least id.
+
+    Documents without id or words stay; of several rows with one id, one stays."""
+    wide_rows(spark)
     return jaccard_join.one_of_each(docs, width=5, num=8, den=10).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by benchmark items."""
+    wide_rows(spark)
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contaminated")).select(*docs.columns)
 
 
 def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms, which keep the length of texts, in place of personal data."""
+    wide_rows(spark)
     return pseudonyms.pseudonymise(docs, SAMPLE_KEY, counts=None).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as token ids, with digests of the ids and of the text that they decode to."""
+    wide_rows(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN, ids="ids")
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")

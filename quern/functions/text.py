@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 #: Words left out of search terms. Fixed values.
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "de", "der", "die", "en", "for", "from", "in", "is", "it", "la", "of", "on", "or", "that", "the", "to", "und", "was", "with")
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: A name of up to 64 signs that begins with a letter or digit, labels of up to 63 without hyphens at their ends, and letters.
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}"
 IPV4 = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
 PHONE = r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
 LONG_NUMBER = r"\b[0-9]{13,19}\b"
@@ -70,10 +71,15 @@ def word_windows(tokens: Column, size: int, overlap: int) -> Column:
 
 
 def shingles(tokens: Column, width: int) -> Column:
-    """Distinct runs of words; all words as one if there are fewer."""
-    n = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, width), " "))
-    return F.array_distinct(F.when(n > 0, runs).otherwise(F.array().cast("array<string>")))
+    """Distinct runs of words; all words as one if there are fewer.
+
+    The words are joined with their neighbours place by place: a slice for each run would copy all words for each.
+    """
+    count = F.greatest(F.size(tokens) - width + 1, F.lit(1))
+    runs = F.slice(tokens, F.lit(1), count)
+    for j in range(1, width):
+        runs = F.zip_with(runs, F.slice(tokens, F.lit(j + 1), count), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(runs)
 
 
 def bucket(key: Column, seed: str) -> Column:

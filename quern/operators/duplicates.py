@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .graphs import components, held
+from ..sources.tables import written
+from .graphs import components
 
 
 PRIME = 2_147_483_647
@@ -23,13 +26,23 @@ def dropped_copies(df: DataFrame, scope: list[str], text: str, key: str) -> Data
 
 
 def minhash(shingles: Column, hashes: int, seed: int = 7) -> Column:
-    """The least of each of several hashes of a set of strings."""
-    codes = F.transform(shingles, lambda s: F.pmod(F.xxhash64(s), F.lit(PRIME)))
+    """The least of each of several hashes of a set of strings: set by set in Arrow batches, all hashes of a set at once."""
+    numbers = np.arange(hashes)
+    a = (2 * ((seed * 7_919 + numbers * 104_729) % 1_000_003) + 1).astype(np.int64)
+    b = ((seed * 15_485_863 + numbers * 32_452_843) % PRIME).astype(np.int64)
 
-    def least(a: int, b: int) -> Column:
-        return F.array_min(F.transform(codes, lambda c: F.pmod(c * a + b, F.lit(PRIME))))
+    @F.pandas_udf("array<long>")
+    def least(sets: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None or not len(s) else _least(np.asarray(s), a, b) for s in sets], dtype=object)
 
-    return F.array(*[least(2 * ((seed * 7_919 + i * 104_729) % 1_000_003) + 1, (seed * 15_485_863 + i * 32_452_843) % PRIME) for i in range(hashes)])
+    return least(F.transform(shingles, lambda s: F.pmod(F.xxhash64(s), F.lit(PRIME))))
+
+
+def _least(codes: np.ndarray, a: np.ndarray, b: np.ndarray, piece: int = 4096) -> np.ndarray:
+    out = np.full(len(a), PRIME, np.int64)
+    for at in range(0, len(codes), piece):
+        out = np.minimum(out, ((codes[at : at + piece, None] * a + b) % PRIME).min(axis=0))
+    return out
 
 
 def _classes(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -43,23 +56,24 @@ def minhash_pairs(df: DataFrame, key: str, text: str, least: float, width: int =
     The pairs connect all texts that such pairs link: members of a band are compared with its smallest key first, then
     all those with each other that these links leave in different components. Links inside a component can be left out.
     """
-    sets = _classes(df, key, text).select("k", tx.shingles(tx.words(F.col("t")), width).alias("s")).where(F.size("s") > 0)
+    words = _classes(df, key, text).select("k", tx.words(F.col("t")).alias("w"))  # a column of its own, or each shingle would cut the text anew
+    sets = written(words.select("k", tx.shingles(F.col("w"), width).alias("s")).where(F.size("s") > 0))
 
     def similar(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         jaccard = F.round(shared / (F.size("sa") + F.size("sb") - shared), 6)
-        return held(both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= least))
+        return written(both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= least))
 
     signed = sets.select("k", minhash(F.col("s"), bands * rows).alias("m"))
-    banded = held(signed.select("k", F.posexplode(F.array(*[F.xxhash64(F.slice("m", i * rows + 1, rows)) for i in range(bands)])).alias("band", "value")))
+    banded = written(signed.select("k", F.posexplode(F.array(*[F.xxhash64(F.slice("m", i * rows + 1, rows)) for i in range(bands)])).alias("band", "value")))
     heads = banded.groupBy("band", "value").agg(F.min("k").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = held(banded.join(heads, ["band", "value"]))
+    near = written(banded.join(heads, ["band", "value"]))
     stars = similar(near.where("a != k").select("a", F.col("k").alias("b")).distinct())
     found = components(stars.select("a", "b"))
     members = near.where("a != k").join(found.withColumnRenamed("id", "k"), "k", "left").select("band", "value", "k", F.coalesce("component_id", "k").alias("c"))
     several = members.groupBy("band", "value").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("band", "value")
-    members = held(members.join(several, ["band", "value"], "left_semi"))
+    members = written(members.join(several, ["band", "value"], "left_semi"))
     others = members.select("band", "value", F.col("k").alias("b"), F.col("c").alias("d"))
     pairs = members.withColumnRenamed("k", "a").join(others, ["band", "value"]).where("a < b and c != d").select("a", "b").distinct()
     return stars.union(similar(pairs))

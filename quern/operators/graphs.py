@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def hops(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids (a) that share a neighbour (b) with one of the starts: two semi-joins, so no pairs are made."""
@@ -12,34 +14,31 @@ def hops(starts: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(near, F.col("b") == F.col("id"), "left_semi").select(F.col("a").alias("id")).distinct()
 
 
-def reachable(starts: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """Ids that edges (parent, child) reach from the starts, these included: one join a level, new ids only."""
-    found = new = starts.select("id").distinct()
-    for _ in range(most_rounds):
+def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ids that edges (parent, child) reach from the starts, these included: one join a level, until there are no new ids."""
+    edges = written(edges.select("parent", "child"))
+    found = new = written(starts.select("id").distinct())
+    while not new.isEmpty():
         new = edges.join(new, F.col("parent") == F.col("id"), "left_semi").select(F.col("child").alias("id")).distinct()
-        new = new.join(found, "id", "left_anti").checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else new.join(found, "id", "left_anti")
-        if new.isEmpty():
-            break
+        new = written(new.join(found, "id", "left_anti"))
         found = found.union(new)
     return found
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df computed once: a checkpoint, or kept by the executors if there is no folder for one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def components(links: DataFrame) -> DataFrame:
-    """(id, component_id) of the ids in links (a, b): the smallest id that links reach, by turns of large and small stars."""
-    edges = held(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    while (now := edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()) != state and now[0]:
+    """(id, component_id) of the ids in links (a, b): the smallest id that links reach, by turns of large and small stars,
+    until a round changes nothing."""
+    edges = written(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    wide = [F.sum(F.xxhash64(F.lit(seed), "u", "v").cast("decimal(20,0)")) for seed in (1, 2)]
+    state, now = None, edges.agg(F.count("*"), *wide).first()
+    while now != state and now[0]:
         state = now
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        edges = held(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = written(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        now = edges.agg(F.count("*"), *wide).first()
     found = edges.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     return found.union(edges.select("v", "v")).distinct()

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions import text as tx
+
 
 def ratio(a: Column, b: Column, empty: float | None = None) -> Column:
     """a / b, or `empty` where b is 0."""
@@ -69,18 +73,17 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.select(F.round(po, 6).alias("observed"), F.round(pe, 6).alias("chance"), F.round((po - pe) / (1 - pe), 6).alias("kappa"))
 
 
-def poisson_bootstrap(df: DataFrame, groups: list[str], key: str, value: str, times: int, cumulative: tuple[float, ...]) -> DataFrame:
-    """Bounds of the mean of each group from Poisson resamples, whose weights follow from keys.
+def resampled_means(counts: DataFrame, group: str, value: str, n: str, times: int) -> DataFrame:
+    """(group, low, high, n): bounds of the mean of each group over resamples, from how often each value occurs.
 
-    Each row adds to `times` sums of its group, which are made before the shuffle.
+    n rows of one value have Poisson weights of 1 each; the weight of all of them is Poisson of n, taken here as
+    round(n + sqrt(n) z), z normal from two numbers that follow from the resample, the group and the value. So a
+    resample costs one number for each distinct value, however many rows there are.
     """
-
-    def weight(i: int) -> Column:
-        digest = F.substring(F.sha2(F.concat(F.lit(f"boot{i}:"), F.col(key).cast("string")), 256), 1, 12)
-        b = F.conv(digest, 16, 10).cast("double") / float(16**12)
-        return sum(((b >= p).cast("int") for p in cumulative), F.lit(0))
-
-    sums = df.select(*groups, F.col(value).alias("v"), F.posexplode(F.array(*[weight(i) for i in range(times)])).alias("r", "w"))
-    means = sums.groupBy(*groups, "r").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("n")).where("n > 0")
-    means = means.select(*groups, F.round(F.col("s") / F.col("n"), 6).alias("mean"))
-    return means.groupBy(*groups).agg(nearest_rank("mean", 0.025).alias("low"), nearest_rank("mean", 0.975).alias("high"), F.count("*").alias("n"))
+    rows = counts.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    key = F.concat_ws(":", *[F.col(c).cast("string") for c in ("r", group, value)])
+    z = F.sqrt(-2 * F.log(1 - tx.bucket(key, "radius"))) * F.cos(2 * math.pi * tx.bucket(key, "angle"))
+    weight = F.greatest(F.round(F.col(n) + F.sqrt(n) * z), F.lit(0.0))
+    sums = rows.groupBy(group, "r").agg(F.sum(weight * F.col(value)).alias("s"), F.sum(weight).alias("w")).where("w > 0")
+    means = sums.select(group, F.round(F.col("s") / F.col("w"), 6).alias("mean"))
+    return means.groupBy(group).agg(nearest_rank("mean", 0.025).alias("low"), nearest_rank("mean", 0.975).alias("high"), F.count("*").alias("n"))

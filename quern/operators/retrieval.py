@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import text as tx
+from ..sources.tables import written
 
 
 def postings(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -19,35 +20,41 @@ def postings(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Da
     return exploded, terms.select(key, F.size("terms").alias("length"))
 
 
-def _matches(df: DataFrame, queries: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings of the queries' terms with their number of documents; the corpus' size and mean length; query terms."""
-    asked = queries.select("query_id", F.explode(tx.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = [r.term for r in asked.select("term").distinct().collect()]  # of the stated queries
-    rows = df.select(F.col(key), tx.terms(F.col(text)).alias("terms"))
-    corpus = rows.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_length"))
-    hit = F.filter("terms", lambda t: t.isin(*wanted)) if wanted else F.array().cast("array<string>")
-    hits = rows.select(key, F.size("terms").alias("length"), F.explode(hit).alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-    df_counts = hits.groupBy("term").agg(F.count("*").alias("df"))
-    return hits.join(F.broadcast(df_counts), "term"), corpus, asked  # one row for each query term
+class Matches:
+    """What texts have of the terms of stated queries; texts are read and cut into terms once, for all rankings.
 
-
-def bm25(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, explain: bool = False) -> DataFrame:
-    """(query_id, key, score) by Okapi BM25 with statistics of the whole corpus; explain: a row for each term.
-
-    Only postings of query terms leave the scan; statistics are broadcast, a row for each query term.
+    Of each text its key, length and query terms are written; numbers of documents and the corpus' size and mean length
+    come from what was written.
     """
-    hits, corpus, asked = _matches(df, queries, key, text)
-    rows = hits.join(F.broadcast(asked), "term").crossJoin(F.broadcast(corpus))  # corpus has one row
+
+    def __init__(self, df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text"):
+        self.key = key
+        self.asked = queries.select("query_id", F.explode(tx.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        wanted = [r.term for r in self.asked.select("term").distinct().collect()]  # of the stated queries
+        hit = (lambda t: F.filter(t, lambda x: x.isin(*wanted))) if wanted else (lambda t: F.array().cast("array<string>"))
+        rows = written(df.select(F.col(key), tx.terms(F.col(text)).alias("t")).select(key, F.size("t").alias("length"), hit(F.col("t")).alias("hit")))
+        self.corpus = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+        hits = rows.where(F.size("hit") > 0).select(key, "length", F.explode("hit").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+        self.hits = hits.join(F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df"))), "term")  # one row for each query term
+
+    def rows(self) -> DataFrame:
+        return self.hits.join(F.broadcast(self.asked), "term").crossJoin(F.broadcast(self.corpus))  # corpus has one row
+
+
+def bm25(
+    df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, explain: bool = False, matches: Matches | None = None,
+) -> DataFrame:
+    """(query_id, key, score) by Okapi BM25 with statistics of the whole corpus; explain: a row for each term."""
+    rows = (matches or Matches(df, queries, key, text)).rows()
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     rows = rows.select("query_id", key, "term", (F.col("qtf") * idf * tf).alias("part"))
     return rows if explain else rows.groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
-def tfidf(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def tfidf(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", matches: Matches | None = None) -> DataFrame:
     """(query_id, key, score): sum of idf (1 + ln tf) of distinct query terms, damped by the fourth root of the length."""
-    hits, corpus, asked = _matches(df, queries, key, text)
-    rows = hits.join(F.broadcast(asked), "term").crossJoin(F.broadcast(corpus))
+    rows = (matches or Matches(df, queries, key, text)).rows()
     part = (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1) * (1 + F.log("tf")) / F.sqrt(F.sqrt(F.col("length")))
     return rows.select("query_id", key, part.alias("part")).groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
 

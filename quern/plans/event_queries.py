@@ -134,8 +134,14 @@ def last_event_wins(spark, d):
 
 @query("lag_distances", "SELECT event_id, round(abs(value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id)), 6) AS step FROM events")
 def lag_distances(spark, d):
-    before = F.lag("value").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    return _events(spark, d).select("event_id", F.round(F.abs(F.col("value") - before), 6).alias("step"))
+    """Windows hold a type's events of one day; the first of a day gets the last value of the last day before it."""
+    rows = _events(spark, d).select("event_id", "event_type", "ts", "value", F.to_date("ts").alias("day"))
+    last = rows.groupBy("event_type", "day").agg(F.max_by(F.struct("value"), F.struct("ts", "event_id")).alias("own"))
+    carried = last.select("event_type", "day", F.lag("own").over(Window.partitionBy("event_type").orderBy("day")).alias("before"))  # a row a day
+    own = Window.partitionBy("event_type", "day").orderBy("ts", "event_id")
+    rows = rows.withColumns({"place": F.row_number().over(own), "previous": F.lag("value").over(own)}).join(carried, ["event_type", "day"])
+    before = F.when(F.col("place") == 1, F.col("before.value")).otherwise(F.col("previous"))
+    return rows.select("event_id", F.round(F.abs(F.col("value") - before), 6).alias("step"))
 
 
 @query("trace_completeness", "SELECT event_type, round(avg(CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_k, round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_value FROM events GROUP BY 1")

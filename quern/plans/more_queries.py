@@ -10,6 +10,7 @@ from ..operators import graphs, metrics, vectors
 from ..operators.retrieval import cosine
 from ..sources.tables import table
 from ..streaming import events as streams
+from .metric_queries import SCORE, _scored
 from .registry import query
 
 COSINE = "list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a})) / sqrt(list_dot_product({b}, {b}))"
@@ -37,20 +38,36 @@ def vector_outliers(spark, d):
     return near.groupBy("label").agg(F.count("*").alias("n"), F.round(metrics.nearest_rank("dist", 0.95), 6).alias("threshold"))
 
 
-POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406, 0.999917)
-_WEIGHT = " + ".join(f"(CASE WHEN b >= {p} THEN 1 ELSE 0 END)" for p in POISSON)
+_BOOT = "(('0x' || substr(sha256('{}:' || r || ':' || lang || ':' || quality), 1, 12))::UBIGINT / 281474976710656.0)"
+RESAMPLES = 2_000
 
 
 @query(
     "bootstrap_interval",
     f"""SELECT lang, quantile_disc(mean, 0.025) AS low, quantile_disc(mean, 0.975) AS high, count(*)::BIGINT AS n FROM (SELECT lang, r, round(sum(w * quality)::DOUBLE / sum(w), 6) AS mean FROM
-    (SELECT lang, r, quality, {_WEIGHT} AS w FROM (SELECT lang, r, quality, (('0x' || substr(sha256('boot' || r || ':' || doc_id), 1, 12))::UBIGINT / 281474976710656.0) AS b FROM documents JOIN labels USING (doc_id),
-    (SELECT unnest(generate_series(0, 39)) AS r))) GROUP BY lang, r HAVING sum(w) > 0) GROUP BY lang""",
+    (SELECT lang, r, quality, greatest(round(n + sqrt(n) * sqrt(-2 * ln(1 - {_BOOT.format('radius')})) * cos(2 * pi() * {_BOOT.format('angle')})), 0.0) AS w
+    FROM (SELECT lang, quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2), (SELECT unnest(generate_series(0, {RESAMPLES - 1})) AS r)) GROUP BY lang, r HAVING sum(w) > 0) GROUP BY lang""",
 )
 def bootstrap_interval(spark, d):
-    """Poisson resamples: each row's weight in each follows from its id, so rows need not meet before they are summed."""
+    """2,000 resamples of the mean of each language, from counts of the values."""
     rows = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
-    return metrics.poisson_bootstrap(rows, ["lang"], "doc_id", "quality", 40, POISSON)
+    return metrics.resampled_means(rows.groupBy("lang", "quality").agg(F.count("*").alias("n")), "lang", "quality", "n", RESAMPLES)
+
+
+@query(
+    "paired_bootstrap",
+    f"""SELECT lang, quantile_disc(mean, 0.025) AS low, quantile_disc(mean, 0.975) AS high, count(*)::BIGINT AS n FROM (SELECT lang, r, round(sum(w * quality)::DOUBLE / sum(w), 6) AS mean FROM
+    (SELECT lang, r, quality, greatest(round(n + sqrt(n) * sqrt(-2 * ln(1 - {_BOOT.format('radius')})) * cos(2 * pi() * {_BOOT.format('angle')})), 0.0) AS w
+    FROM (SELECT lang, (CASE WHEN (b >= 0.5) = (quality = 1) THEN 1 ELSE 0 END - CASE WHEN (a >= 0.5) = (quality = 1) THEN 1 ELSE 0 END) AS quality, count(*) AS n FROM
+    (SELECT lang, quality, {SCORE} AS a, {SCORE.replace("score:", "other:")} AS b FROM documents JOIN labels USING (doc_id)) GROUP BY 1, 2),
+    (SELECT unnest(generate_series(0, {RESAMPLES - 1})) AS r)) GROUP BY lang, r HAVING sum(w) > 0) GROUP BY lang""",
+)
+def paired_bootstrap(spark, d):
+    """The same of the differences between two runs over the same cases."""
+    rows = _scored(spark, d).withColumn("other", tx.bucket(F.col("doc_id"), "other"))
+    ok = lambda c: ((F.col(c) >= 0.5) == (F.col("quality") == 1)).cast("int")
+    deltas = rows.groupBy("lang", (ok("other") - ok("score")).alias("quality")).agg(F.count("*").alias("n"))
+    return metrics.resampled_means(deltas, "lang", "quality", "n", RESAMPLES)
 
 
 @query(

@@ -58,7 +58,8 @@ def tfidf_search(spark, d):
 
 def _both(spark, d):
     documents, asked = table(spark, d, "documents"), _queries(spark)
-    return [retrieval.ranked(f(documents, asked), "doc_id", 50) for f in (retrieval.bm25, retrieval.tfidf)]
+    matches = retrieval.Matches(documents, asked)
+    return [retrieval.ranked(f(documents, asked, matches=matches), "doc_id", 50) for f in (retrieval.bm25, retrieval.tfidf)]
 
 
 @query("rank_fusion", f"{SQL} SELECT query_id::INT AS query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM rrf) WHERE r <= 10")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,11 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+from ..sources.tables import shared_folder
 
 
 def read_events(spark: SparkSession, sf_dir: str, files_a_batch: int = 16) -> DataFrame:
@@ -46,7 +41,7 @@ def without_repeats(events: DataFrame, key: str = "event_id", late: str = "1 hou
 
 def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Process all files that are there, and read back what the last batch wrote (complete) or all have (append)."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
 
     def keep(batch: DataFrame, number: int) -> None:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .retrieval import cosine
 
@@ -21,3 +24,76 @@ def by_centroid(df: DataFrame, centres: DataFrame, key: str, label: str = "label
     told = F.transform("all", lambda x: F.struct(F.round(cosine(x["c"], F.col(vector)), 6).alias("score"), (-x["l"]).alias("l")))
     best = F.array_max(told)
     return rows.select(key, label, (-best["l"]).alias("said"), best["score"].alias("score"))
+
+
+def spherical_centres(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
+    """Unit centres of a sample of unit vectors, which has a bounded size: k-means by cosine from evenly spaced rows."""
+    centres = sample[np.linspace(0, len(sample) - 1, min(lists, len(sample))).astype(int)]
+    for _ in range(rounds):
+        own = (sample @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, sample)
+        size = np.linalg.norm(sums, axis=1)
+        centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1e-12)[:, None], centres)
+    return centres
+
+
+def ivf_search(
+    df: DataFrame, queries: DataFrame, n: int, key: str = "vec_id", vector: str = "embedding", lists: int = 32, probes: int = 8, sample: int = 20_000,
+) -> DataFrame:
+    """(query_id, key, score, rank): the n most similar rows of the lists that a query probes, by cosine.
+
+    Centres are fitted on at most about `sample` rows, chosen by a hash of the key; every row is put in the list of its
+    nearest centre. Queries go to their `probes` nearest lists, and meet rows there in a join by list.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key), F.col(vector).cast("array<double>").alias("v"))
+    total = rows.count()
+    if not total:
+        return rows.select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    chosen = rows if total <= sample else rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+    fitted = np.array([r.v for r in chosen.orderBy(key).select("v").collect()])  # the bounded sample
+    centres = spherical_centres(fitted / np.maximum(np.linalg.norm(fitted, axis=1), 1e-12)[:, None], lists)
+
+    def nearest_lists(k: int):
+        @F.pandas_udf("array<int>")
+        def told(vectors: pd.Series) -> pd.Series:
+            close = np.stack(vectors.to_numpy()) @ centres.T if len(vectors) else np.zeros((0, len(centres)))
+            return pd.Series(list(np.argsort(-close, axis=1, kind="stable")[:, :k].astype(np.int32)))
+
+        return told
+
+    placed = rows.select(key, "v", nearest_lists(1)("v")[0].alias("list"))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("q"))
+    asked = asked.select("query_id", "q", F.explode(nearest_lists(probes)("q")).alias("list"))
+    met = placed.join(asked, "list").where(F.col(key) != F.col("query_id"))
+    scores = met.select("query_id", key, F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return scores.withColumn("rank", order).where(F.col("rank") <= n)
+
+
+def diverse(candidates: DataFrame, k: int, balance: float, query: str = "query_id", key: str = "vec_id", score: str = "score", vector: str = "v") -> DataFrame:
+    """(query, key, place): k of each query's candidates, the next being the one of largest
+    balance * score - (1 - balance) * largest cosine with those chosen before; ties go to the better candidate.
+
+    A query's candidates are the few that a search keeps, and are put in one row.
+    """
+
+    @F.pandas_udf("array<int>")
+    def chosen(scores: pd.Series, vectors: pd.Series) -> pd.Series:
+        out = []
+        for own, rows in zip(scores, vectors):
+            v = np.stack([np.asarray(x, float) for x in rows])
+            v /= np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+            near, left, order = np.zeros(len(own)), list(range(len(own))), []
+            while left and len(order) < k:
+                best = max(left, key=lambda i: (round(balance * own[i] - (1 - balance) * near[i], 9), -i))
+                near = np.maximum(near, v @ v[best]) if order else v @ v[best]
+                order.append(best)
+                left.remove(best)
+            out.append(np.array(order, np.int32))
+        return pd.Series(out, dtype=object)
+
+    own = F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))))
+    rows = candidates.groupBy(query).agg(own.alias("c"))
+    rows = rows.withColumn("order", chosen(F.transform("c", lambda x: -x["s"]), F.transform("c", lambda x: x["v"])))
+    return rows.select(query, F.posexplode(F.transform("order", lambda i: F.col("c")[i]["k"])).alias("place", key))

@@ -249,8 +249,21 @@ def label_conflicts(spark, d):
     return rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("kept"), F.count_distinct("quality").alias("n_labels")).where("n > 1")
 
 
-@query("minhash_pairs")
+@query(
+    "minhash_pairs",
+    r"""WITH RECURSIVE classes AS (SELECT min(doc_id) AS k, min(text) AS t FROM documents WHERE length(trim(text)) > 0 GROUP BY md5(text)),
+    words AS (SELECT k, list_filter(regexp_split_to_array(t, '[ \t\n\r]+'), lambda x: x <> '') AS ws FROM classes),
+    shingles AS (SELECT DISTINCT k, unnest(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: array_to_string(ws[i:i+4], ' '))) AS s FROM words WHERE len(ws) > 0),
+    sizes AS (SELECT k, count(*) AS n FROM shingles GROUP BY k),
+    shared AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.k < b.k GROUP BY ALL),
+    links AS (SELECT x, y FROM shared JOIN sizes a ON a.k = x JOIN sizes b ON b.k = y WHERE round(c::DOUBLE / (a.n + b.n - c), 6) >= 0.8),
+    both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+    reached(id, other) AS (SELECT x, y FROM both_ways UNION SELECT r.id, b.y FROM reached r JOIN both_ways b ON r.other = b.x),
+    components AS (SELECT id, least(id, min(other)) AS component_id FROM reached GROUP BY id)
+SELECT d.doc_id, coalesce(c.k, d.doc_id) AS class_id, coalesce(component_id, c.k, d.doc_id) AS component_id FROM documents d LEFT JOIN classes c ON c.t = d.text LEFT JOIN components m ON m.id = c.k""",
+)
 def minhash_pairs(spark, d):
+    """Classes of equal texts and components of similar ones; bands find a pair at the limit with probability 0.9998."""
     return duplicates.minhash_groups(table(spark, d, "documents"), "doc_id", "text", least=0.8)
 
 

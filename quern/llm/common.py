@@ -36,11 +36,12 @@ def partitions(df: DataFrame) -> int:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, key: str, label: str, most: int) -> DataFrame:
-    """Documents with a label of 0 or 1, about `most` rows at most: chosen by a hash of the key, alike on every run.
+    """Documents with a label of 0 or 1, about `most` rows: chosen by a hash of the key, alike on every run. A key with
+    both labels has the label 1.
 
     The sampled labels have a bounded size, so they are broadcast and the documents stay where they are.
     """
-    rows = labels.select(key, F.col(label).cast("int").alias(label)).where(F.col(label).isin(0, 1)).distinct()
+    rows = labels.select(key, F.col(label).cast("int").alias(label)).where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias(label))
     n = rows.count()
     if n > most:
         rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * most / n))

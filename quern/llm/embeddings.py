@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components, cut
 from .common import partitions
@@ -47,13 +48,13 @@ def buckets(vectors: np.ndarray, tables: int = TABLES, directions: int = DIRECTI
     return (mixed >> 31).astype(np.int32)
 
 
-def _hashed(tables: int, directions: int, strip: float):
+def _hashed(tables: int, directions: int, strip: float, kind: str):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, same in batch.groupby(batch["e"].map(len)):
                 for at in range(0, len(same), 2048):
                     part = same.iloc[at : at + 2048]
-                    vectors = np.stack(part["e"].to_numpy()).astype(np.float32)
+                    vectors = np.stack(part["e"].to_numpy()).astype(kind)
                     found = buckets(vectors.astype(np.float64), tables, directions, strip)
                     out = pd.DataFrame({"l": part["l"], "rep": part["rep"], "m": part["m"], "e": [v.tobytes() for v in vectors], "s": [s.tobytes() for s in found]})
                     for t in range(tables):
@@ -75,12 +76,12 @@ def _least_of_trees(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _linked(least: float):
+def _linked(least: float, kind: str):
     """Links of sorted rows: for each vector in a group that links, its least partner and the vectors it links with."""
 
     def of_group(rows: list, table: int) -> pd.DataFrame | None:
         rep, m, e, s, side = (np.array(x) if i != 2 and i != 3 else x for i, x in enumerate(rows))
-        vectors = np.frombuffer(b"".join(e), np.float32).reshape(len(e), -1).astype(np.float64)
+        vectors = np.frombuffer(b"".join(e), kind).reshape(len(e), -1).astype(np.float64)
         size = np.linalg.norm(vectors, axis=1)
         left = np.flatnonzero(side != 2)
         right = left if not (side == 2).any() else np.flatnonzero(side == 2)
@@ -133,7 +134,8 @@ def _linked(least: float):
 
 def links(classes: DataFrame, least: float = COSINE, tables: int = TABLES, directions: int = DIRECTIONS, strip: float = STRIP, block: int = BLOCK) -> DataFrame:
     """Rows (a, b, n) from classes (l, rep, m, e): a links with n vectors, and is connected with b."""
-    dealt = classes.mapInPandas(_hashed(tables, directions, strip), "l int, rep long, m long, e binary, s binary, t int, b int")
+    kind = "float64" if classes.schema["e"].dataType.elementType == T.DoubleType() else "float32"
+    dealt = classes.mapInPandas(_hashed(tables, directions, strip, kind), "l string, rep long, m long, e binary, s binary, t int, b int")
     dealt = dealt.withColumn("d", F.length("e"))
     key = ["l", "t", "b", "d"]
     # Buckets over the bound get as many blocks as they need; each of their rows goes to every pair with its block.
@@ -149,16 +151,20 @@ def links(classes: DataFrame, least: float = COSINE, tables: int = TABLES, direc
     )
     group = [*key, "i", "j"]
     sorted_rows = dealt.repartition(partitions(classes), *group).sortWithinPartitions(*group)
-    return sorted_rows.mapInPandas(_linked(least), "a long, b long, n long")
+    return sorted_rows.mapInPandas(_linked(least, kind), "a long, b long, n long")
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = COSINE, **how) -> DataFrame:
-    """One row for each row of df: its id, n_links, component_id and kept (the id is that of the component)."""
+    """One row for each row of df: its id, n_links, component_id and kept (the id is that of the component).
+
+    Labels of any type are compared as text. Vectors of floats stay floats; those of other numbers become doubles.
+    """
     sound = (
         F.col("l").isNotNull() & F.col("id").isNotNull() & F.coalesce(F.size("e") > 0, F.lit(False))
         & F.forall("e", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists("e", lambda x: x != 0)
     )
-    rows = df.select(F.col(key).alias("id"), F.col(label).cast("int").alias("l"), F.col(vector).cast("array<float>").alias("e"))
+    floats = df.schema[vector].dataType.elementType == T.FloatType()
+    rows = df.select(F.col(key).alias("id"), F.col(label).cast("string").alias("l"), F.col(vector).cast("array<float>" if floats else "array<double>").alias("e"))
     rows = rows.withColumn("h", F.when(F.coalesce(sound, F.lit(False)), F.struct(F.xxhash64("e").alias("x"), F.xxhash64(F.lit(7), "e").alias("y"))))
     members = rows.where("h is not null").select("id", "l", "h")
     classes = rows.where("h is not null").groupBy("l", "h").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.first("e").alias("e"))

@@ -226,6 +226,15 @@ def test_embeddings_exact_for_near_copies(spark):
     assert {(r.vec_id < 100, r.n_links, r.component_id) for r in found} == {(True, 59, 0), (False, 39, 100)}
 
 
+def test_embeddings_of_doubles_and_labels_of_text(spark):
+    """Vectors that floats can't tell apart from the limit, and labels that aren't numbers."""
+    limit, e = 0.93, 1e-9
+    rows = [(1, [1.0, 0.0], "a"), (2, [limit + e, float(np.sqrt(1 - (limit + e) ** 2))], "a"), (3, [1.0, 0.0], "b"), (4, [limit - e, float(np.sqrt(1 - (limit - e) ** 2))], "b"), (5, [1.0, 0.0], "c d")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    found = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, tables=64, directions=1).collect()}
+    assert found == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
+
+
 def test_embeddings_odd_rows(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, None, 1), (2, [], 1), (3, [0.0, 0.0, 0.0], 1), (4, [1.0, None, 1.0], 1), (5, [float("nan"), 1.0, 1.0], 1), (6, [float("inf"), 1.0, 1.0], 1)]

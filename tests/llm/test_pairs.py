@@ -144,6 +144,13 @@ def test_join_of_large_groups_below_the_threshold(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in jaccard_join.grouped(df, width=3, num=90, den=100).collect()} == expected
 
 
+def test_sets_are_packed_and_unpacked():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 500):
+        values = np.unique(rng.integers(0, 1 << 63, n, np.int64).astype(np.uint64) << np.uint64(1))
+        assert (jaccard_join._thick(jaccard_join._thin(values)) == values >> np.uint64(16)).all()
+
+
 def test_sets_are_sent_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "PIECE", 3)
     rng = random.Random(13)

@@ -56,4 +56,29 @@ SELECT w.doc_id, len(ws) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(n.n, 0)
 FROM words w LEFT JOIN hits h ON h.doc_id = w.doc_id LEFT JOIN names n ON n.doc_id = w.doc_id
 """
 
-ORACLE_SQL = {"op2_jaccard_join": JACCARD, "op5_embeddings": EMBEDDINGS, "op8_decontaminate": DECONTAMINATION}
+#: The table of crc32 is made from its polynomial; words beyond ASCII are of U+00C0 to U+00FF, two bytes each.
+SPELLING = """
+WITH RECURSIVE
+    t AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT) AS v FROM range(256) r(i))),
+    runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS k, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]{7,}')) AS run FROM documents),
+    own AS (SELECT k, run, count(*) AS n FROM runs GROUP BY ALL),
+    coded AS (
+    SELECT run, n, xor(list_reduce(flatten(list_transform(string_split(k || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195::BIGINT, ord(c)::BIGINT - 64] END)),
+           lambda h, b: xor(h >> 8, crc[1 + xor(h & 255, b)]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM own, t),
+    damaged AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM coded),
+    words AS (SELECT word, sum(n)::BIGINT AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS short FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    pairs AS (
+    SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.short = b.short AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.short = b.word
+    UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.short = b.word),
+    near AS (SELECT word, count(*) AS n_near, min((-m, encode(other))) AS best FROM pairs GROUP BY word),
+    said AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 10 * w.n THEN decode(best[2]) END AS form, CASE WHEN -best[1] >= 10 * w.n THEN -best[1] END AS form_n
+    FROM words w LEFT JOIN near USING (word)),
+    led AS (SELECT word, word AS last, 0 AS steps FROM said UNION ALL SELECT l.word, s.form, steps + 1 FROM led l JOIN said s ON s.word = l.last WHERE s.form IS NOT NULL),
+    roots AS (SELECT word, arg_max(last, steps) AS root FROM led GROUP BY word)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM said JOIN roots USING (word)
+"""
+
+ORACLE_SQL = {"op2_jaccard_join": JACCARD, "op5_embeddings": EMBEDDINGS, "op8_decontaminate": DECONTAMINATION, "op12_spelling_groups": SPELLING}

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, embeddings, html_text, jaccard_join, language_id, pseudonyms, quality, token_counts, toxicity
+from . import alignment, byte_bpe, decontaminate, embeddings, html_text, isolation, jaccard_join, language_id, pseudonyms, quality, spelling, token_counts, toxicity
 from .common import held_out, table
+from .components import cut
 from .oracle import ORACLE_SQL  # noqa: F401  the SQL of these queries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +90,21 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return isolation.judged(documents, _labels(spark, sf_dir)).withColumn("held_out", held_out("doc_id", 5, 0))
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents"), one_in=31)
+    return spelling.spelling_groups(cut(words.where("n >= 2")))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), *names)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_jaccard_join": op2_jaccard_join,
@@ -100,4 +116,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_html_text": op10_html_text,
+    "op11_isolation_rules": op11_isolation_rules,
+    "op12_spelling_groups": op12_spelling_groups,
+    "op13_token_alignment": op13_token_alignment,
 }

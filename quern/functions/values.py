@@ -15,11 +15,11 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 
 def cents(said: Column) -> Column:
     """An amount in cents: the last of point and comma, if two digits follow, is the decimal one; brackets or a minus
-    before it make it negative. Null if there is no number."""
+    before it make it negative. Null if there is no number, or one of more than 16 digits before the decimal ones."""
     digits = F.regexp_extract(said, r"([0-9][0-9 .,']*)", 1)
     decimal = F.regexp_extract(digits, r"[.,]([0-9]{1,2})\s*$", 1)
     whole = F.regexp_replace(F.when(decimal == "", digits).otherwise(F.regexp_replace(digits, r"[.,][0-9]{1,2}\s*$", "")), "[^0-9]", "")
-    amount = F.when(whole != "", whole.cast("long") * 100 + F.when(decimal == "", 0).otherwise(F.rpad(decimal, 2, "0").cast("long")))
+    amount = F.when((whole != "") & (F.length(F.ltrim(whole, F.lit("0"))) <= 16), whole.try_cast("long") * 100 + F.when(decimal == "", 0).otherwise(F.rpad(decimal, 2, "0").cast("long")))
     return F.when(said.rlike(r"\(.*[0-9].*\)|^\s*-|-\s*[$€£]?[0-9]"), -amount).otherwise(amount)
 
 

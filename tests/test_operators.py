@@ -115,3 +115,27 @@ def test_streamed_sessions_and_repeats(spark, tmp_path):
     assert found == {(1, 10), (1, 1), (2, 1)}
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     assert streams.run_to_end(streams.without_repeats(stream), "append").count() == 9
+
+
+def test_entry_without_the_training_data(tmp_path):
+    """A folder that only caches are left in, as deletion by git leaves it, takes no other query with it."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).parents[1]
+    for name in ("quern", "__spark_entry__.py"):
+        (shutil.copytree if (root / name).is_dir() else shutil.copy)(root / name, tmp_path / name)
+    shutil.rmtree(tmp_path / "quern/llm")
+    (tmp_path / "quern/llm/__pycache__").mkdir(parents=True)
+    code = "import warnings; warnings.simplefilter('ignore'); import __spark_entry__ as e; print(len(e.queries()), 'op1_token_counts' in e.queries())"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    n, there = said.stdout.split()
+    assert int(n) > 200 and there == "False"
+
+
+def test_amounts_of_many_digits(spark):
+    from quern.functions import values
+
+    assert one(spark, values.cents, "12345678901234567890123") is None and one(spark, values.cents, "USD 0000000000000000001,234.50") == 123450

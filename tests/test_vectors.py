@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import duplicates, folds, graphs, vectors
+from quern import catalog
+from quern.operators import duplicates, folds, graphs, retrieval, vectors
 from quern.sources import tables
 
 
@@ -28,6 +29,32 @@ def test_ivf_recall(spark):
     assert vectors.ivf_search(df.limit(0), df.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_ivf_recall_of_the_query(spark, size):
+    folder = f"/root/testdata/{size}"
+    rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect() if r.embedding}
+    keys = sorted(rows)
+    units = np.array([rows[k] for k in keys], float)
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    found = {}
+    for r in catalog.QUERIES["ivf_search"](spark, folder).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for i, k in enumerate(keys):
+        if k % 100 == 0:
+            near = [keys[j] for j in np.argsort(-(units @ units[i]), kind="stable") if j != i][:10]
+            hits, total = hits + len(found[k] & set(near)), total + len(near)
+    assert hits >= 0.9 * total > 0
+
+
+def test_ivf_in_blocks_is_exact_with_all_lists(spark):
+    rows = [*rows_of(300), (9_999, None), (9_998, [0.0] * 16), (9_997, [float("nan")] + [1.0] * 15), (9_996, [None] + [1.0] * 15)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = vectors.ivf_search(df, df.where("vec_id % 50 = 0"), 5, lists=4, probes=4, block=20)
+    exact = retrieval.nearest(df.where("vec_id < 9000"), df.where("vec_id < 9000 and vec_id % 50 = 0"), 5)
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 5)) for r in found.collect()) == sorted((r.query_id, r.rank, r.vec_id, round(r.score, 5)) for r in exact.collect())
+
+
 def test_diverse_as_brute_force(spark):
     rows = rows_of(30, 2)
     candidates = [(1, i, float(np.round(1 - i / 40, 3)), v) for i, v in rows] + [(2, 5, 0.5, rows[5][1])]

@@ -427,3 +427,21 @@ def test_pages_as_markup_says(spark):
         article = re.sub(r"<br>", " ", re.search(r"(?s)<article>(.*?)</article>", r.html)[1].replace("<b>", "").replace("</b>", ""))
         blocks = (" ".join(html.unescape(x).split()) for x in re.split(r"</?(?:p|h1)>", article))
         assert r.text == "\n".join(x for x in blocks if x)
+
+
+def test_odd_markup_takes_linear_time():
+    import time
+
+    n = 1_000_000
+    for part in ("<div>", "</x>", "<!", "<b>", "<b><p>", '<a "', "<a '", "<", "<!--", "<script", "<script>", "</", "<div class='a ", "&#", "<p></b>", "<?", "<a b=c ", "<li>"):
+        for page in (part * (n // len(part)), "<div>" * 50_000 + part * (n // len(part)), "<b>" * 50_000 + part * (n // len(part)) + ">"):
+            began = time.process_time()
+            html_text.blocks_of(page)
+            assert time.process_time() - began < 12, part
+
+
+def test_names_of_parts():
+    inside = '<article><p>a</p><table class="widget"><tr><td>b</td></tr></table><div class="social">c</div><div class="ad">d</div></article>'
+    assert [t for z, t in html_text.blocks_of(inside) if z == html_text.ARTICLE] == ["a", "b", "c"]
+    outside = '<div class="has-sidebar"><p>a</p><div class="site-footer">b</div><ul id="main-menu"><li>c</ul><div class="page_sidebar">d</div><div class="no-menu">e</div></div>'
+    assert [t for z, t in html_text.blocks_of(outside) if z == html_text.BODY] == ["a", "e"]

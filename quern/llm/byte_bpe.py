@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 from .common import Memo, without
 
 
+#: Bytes at the start of a match whose way through the transducer is kept.
+HEAD = 4
 #: Texts whose ids a task holds at once.
 TEXTS = 256
 
@@ -66,7 +68,7 @@ class Transducer:
     places agree on them.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_moves: int = 1 << 17, most_pairs: int = 1 << 19):
+    def __init__(self, ranks: dict[bytes, int], most_moves: int = 1 << 18, most_pairs: int = 1 << 19):
         self.ranks, self.most_moves = ranks, most_moves
         self.tokens = {rank: token for token, rank in ranks.items()}
         #: By node: the node of each next byte, the token that ends here (or None), and how deep it lies.
@@ -94,6 +96,8 @@ class Transducer:
         self.numbers: dict[tuple, int] = {start: 0}
         self.states: list[tuple] = [start]
         self.moves: dict[int, tuple[int, int]] = {}
+        #: What the first HEAD bytes lead to: many matches begin alike.
+        self.heads: dict[bytes, tuple[int, tuple[int, ...]]] = {}
 
     def _stay_apart(self, pair: tuple[int, int]) -> bool:
         left, right = self.tokens[pair[0]], self.tokens[pair[1]]
@@ -137,6 +141,14 @@ class Transducer:
             end = start
         return ids[::-1]
 
+    def _walk(self, data: bytes) -> tuple[int, tuple[int, ...]]:
+        """The state after some bytes from the start, and the length of the last token after each."""
+        state, lengths = 0, []
+        for byte in data:
+            state, length = self.moves.get(state << 8 | byte) or self._move(state, byte)
+            lengths.append(length)
+        return state, tuple(lengths)
+
     def encode(self, data: bytes, step: int = 4096) -> tuple[int, ...]:
         """Ids of one match of the splitting pattern."""
         if data in self.ranks:
@@ -144,14 +156,18 @@ class Transducer:
         if len(self.moves) > self.most_moves:
             self.forget()
         out: list[int] = []
-        state, lengths, known = 0, [], self.moves.get
-        for at in range(0, len(data), step):
+        known, head = self.moves.get, data[:HEAD]
+        if head not in self.heads:
+            self.heads[head] = self._walk(head)
+        state, begun = self.heads[head]
+        lengths = list(begun)
+        for at in range(len(begun), len(data), step):
             for byte in data[at : at + step]:
                 state, length = known(state << 8 | byte) or self._move(state, byte)
                 lengths.append(length)
             if at + step < len(data):
-                begun = at + step - len(lengths) + (done := self._settled(state, lengths))
-                out += self._emit(data[begun - done : begun], done, lengths)
+                end = at + step - len(lengths) + (done := self._settled(state, lengths))
+                out += self._emit(data[end - done : end], done, lengths)
                 del lengths[:done]
         return (*out, *self._emit(data[len(data) - len(lengths) :], len(lengths), lengths))
 

@@ -121,17 +121,15 @@ class Windows:
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         self.numbers: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], list[str]] = {}
+        found: dict[tuple[int, ...], dict[str, None]] = {}  # names in the order met, each once
         for item, text in items:
             ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                names = found.setdefault(tuple(ids[at : at + window]), [])
-                if item not in names:
-                    names.append(item)
+                found.setdefault(tuple(ids[at : at + window]), {})[item] = None
         by_length: dict[int, list[tuple[int, ...]]] = {}
         for ids in found:
             by_length.setdefault(len(ids), []).append(ids)
-        self.groups = {n: (np.array(rows, np.int64), [found[r] for r in rows]) for n, rows in by_length.items()}
+        self.groups = {n: (np.array(rows, np.int64), [list(found[r]) for r in rows]) for n, rows in by_length.items()}
         self.shortest = min(by_length, default=0)
 
     def stretches(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:

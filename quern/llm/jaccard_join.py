@@ -480,7 +480,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """The rows of df that stay if one document of each group of similar ones does: that of the least id.
 
-    Rows without id stay. Of several rows with one id, one stays.
+    Rows without id stay. Of several rows with one id, the one whose values have the least digest stays.
     """
     found = grouped(df, key, text, width, num, den)
     ids = found.where(F.col(key).isNotNull() & (F.col(key) != F.col("component_id"))).select(F.col(key).alias("id")).distinct()
@@ -488,5 +488,8 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     repeated = cut(kept.groupBy(key).count().where((F.col("count") > 1) & F.col(key).isNotNull()).select(F.col(key).alias("id")))
     if repeated.isEmpty():
         return kept
-    twice = kept.join(repeated, F.col(key) == F.col("id"), "left_semi").dropDuplicates([key])
+    twice = kept.join(repeated, F.col(key) == F.col("id"), "left_semi")
+    twice = twice.withColumn("__digest", F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    least = twice.groupBy(F.col(key).alias("id")).agg(F.min("__digest").alias("least"))
+    twice = twice.join(least, (F.col(key) == F.col("id")) & (F.col("__digest") == F.col("least")), "left_semi").drop("__digest").dropDuplicates([key])
     return kept.join(repeated, F.col(key) == F.col("id"), "left_anti").union(twice)

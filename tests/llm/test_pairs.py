@@ -251,3 +251,10 @@ def test_embeddings_odd_rows(spark):
     assert sorted((r.vec_id or 0, r.n_links) for r in out) == sorted([*((i, 0) for i in (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 11)), (9, 1), (9, 1)])
     assert all(r.component_id == r.vec_id for r in out)
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_one_of_repeated_ids_is_the_same_in_any_order(spark):
+    rows = [(1, f"text {i} of one id", "en", "s", i) for i in range(7)] * 2 + [(2, "another", "en", "s", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [sorted(map(tuple, jaccard_join.one_of_each(df.repartition(n, "n_chars")).collect())) for n in (1, 3, 5)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2

@@ -445,3 +445,12 @@ def test_names_of_parts():
     assert [t for z, t in html_text.blocks_of(inside) if z == html_text.ARTICLE] == ["a", "b", "c"]
     outside = '<div class="has-sidebar"><p>a</p><div class="site-footer">b</div><ul id="main-menu"><li>c</ul><div class="page_sidebar">d</div><div class="no-menu">e</div></div>'
     assert [t for z, t in html_text.blocks_of(outside) if z == html_text.BODY] == ["a", "e"]
+
+
+def test_many_items_of_one_text():
+    import time
+
+    text = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    began = time.process_time()
+    found = decontaminate.Windows([(f"item{i}", text) for i in range(20_000)] * 2)
+    assert time.process_time() - began < 30 and all(len(names) == 20_000 for _, lists in found.groups.values() for names in lists)

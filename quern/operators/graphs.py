@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import dropped, written
 
 
 def hops(starts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -42,3 +42,38 @@ def components(links: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), *wide).first()
     found = edges.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     return found.union(edges.select("v", "v")).distinct()
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """(id, community_id, size) of the ids in edges (a, b): communities by label propagation, named by their least member.
+
+    In each round the ids take their turns in order; each adopts the label that most of its neighbours have just now
+    (the least of several), if they are as many at least as have its own. Rounds end when none changes anything.
+
+    The turns of a round are not taken one by one. All ids decide at once on a guess of the new labels of the ids before
+    them and the old ones of those after; the guess is replaced by what they decide until it stays. What stays is what
+    the turns give: the first id's label is right after one step, and every id's once those before it are.
+    """
+    both = edges.where("a != b").select(F.col("a").alias("n"), F.col("b").alias("m"))
+    both = written(both.union(both.select("m", "n")).distinct())
+    labels = written(both.select("n").distinct().select("n", F.col("n").alias("old"), F.col("n").alias("new")))
+    while True:
+        # One round.
+        while True:
+            near = both.join(labels.select(F.col("n").alias("m"), "old", "new"), "m")
+            counts = near.groupBy("n", F.when(F.col("m") < F.col("n"), F.col("new")).otherwise(F.col("old")).alias("label")).agg(F.count("*").alias("c"))
+            own = labels.select("n", "old", F.col("new").alias("guess"))
+            best = counts.join(own, "n").groupBy("n", "old", "guess").agg(F.min(F.struct((-F.col("c")).alias("c"), F.col("label").alias("label"))).alias("best"), F.max(F.when(F.col("label") == F.col("old"), F.col("c"))).alias("own"))
+            label = F.when(-F.col("best.c") >= F.coalesce("own", F.lit(0)), F.col("best.label")).otherwise(F.col("old"))
+            told = written(best.select("n", "old", label.alias("new"), (label != F.col("guess")).alias("moved")))
+            dropped(labels)
+            labels = told
+            if told.where("moved").isEmpty():
+                break
+        if labels.where("new != old").isEmpty():
+            break
+        settled = written(labels.select("n", F.col("new").alias("old"), "new"))
+        dropped(labels)
+        labels = settled
+    groups = labels.groupBy("new").agg(F.min("n").alias("community_id"), F.count("*").alias("size"))
+    return labels.join(groups, "new").select(F.col("n").alias("id"), "community_id", "size")

@@ -44,3 +44,27 @@ def as_of(df: DataFrame, others: DataFrame, keys: list[str], time: str, value: s
     both = left.unionByName(right, allowMissingColumns=True)
     order = Window.partitionBy(*keys).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(out, F.last("__v", ignorenulls=True).over(order)).where("__side = 1").drop("__side", "__v")
+
+
+def covered_time(df: DataFrame, key: str, start: str, end: str, bucket_seconds: int = 86_400) -> DataFrame:
+    """(key, n, total, covered, span, islands): of the intervals of each key their number, summed length, the length of
+    what they cover together, from the first start to the last end, and the number of stretches without a gap.
+
+    start and end are whole numbers of seconds; intervals that touch leave no gap. Intervals of a key are dealt by the
+    time they start, so that no task sorts all of a frequent key; what is still open at the start of a piece of time
+    comes from the latest ends of the pieces before. Intervals with a null, or an end before the start, are left out.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).where("s <= e")
+    rows = rows.withColumn("piece", F.floor(F.col("s") / bucket_seconds))
+    # A row for each key and piece of time.
+    earlier = Window.partitionBy("k").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = rows.groupBy("k", "piece").agg(F.max("e").alias("last")).withColumn("open", F.max("last").over(earlier)).select(F.col("k").alias("k2"), F.col("piece").alias("p2"), "open")
+    rows = rows.join(open_, F.col("k").eqNullSafe(F.col("k2")) & (F.col("piece") == F.col("p2")))
+    before = Window.partitionBy("k", "piece").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("reached", F.greatest(F.max("e").over(before), F.col("open")))
+    new = F.greatest(F.lit(0), F.col("e") - F.greatest("s", "reached"))
+    apart = F.col("reached").isNull() | (F.col("s") > F.col("reached"))
+    told = rows.groupBy("k").agg(
+        F.count("*").alias("n"), F.sum(F.col("e") - F.col("s")).alias("total"), F.sum(new).alias("covered"), (F.max("e") - F.min("s")).alias("span"), F.count_if(apart).alias("islands")
+    )
+    return told.withColumnRenamed("k", key)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fulltext, ordered_copies, splitting
+from ..operators import fulltext, graphs, ordered_copies, splitting, windows
 from ..sources.tables import table
 from .registry import query
 
@@ -74,3 +74,26 @@ def phrase_search(spark, d):
     """Documents that hold phrases, words and beginnings of words as stated searches ask, with the number of matches."""
     index = fulltext.positions(table(spark, d, "documents"), "doc_id", "text")
     return fulltext.search(index, SEARCHES, "doc_id")
+
+
+@query("part_communities")
+def part_communities(spark, d):
+    """Communities of parts that were ordered together more than once."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    # An order has few lines, so its pairs are few.
+    pairs = lines.withColumnRenamed("l_partkey", "a").join(lines.withColumnRenamed("l_partkey", "b"), "l_orderkey").where("a < b")
+    return graphs.communities(pairs.groupBy("a", "b").count().where("count >= 2"))
+
+
+@query(
+    "busy_time",
+    """WITH rows AS (SELECT event_type, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000000 + round(value * 60)::BIGINT AS e FROM events WHERE value >= 0),
+    reached AS (SELECT *, max(e) OVER (PARTITION BY event_type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM rows)
+SELECT event_type, count(*) AS n, sum(e - s)::BIGINT AS total, sum(greatest(0, e - greatest(s, r)))::BIGINT AS covered, max(e) - min(s) AS span,
+       count(*) FILTER (r IS NULL OR s > r) AS islands FROM reached GROUP BY event_type""",
+)
+def busy_time(spark, d):
+    """How long events of each kind last together, an event lasting as many minutes as its value; overlaps count once."""
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    rows = table(spark, d, "events").where("value >= 0").select("event_type", at.alias("s"), (at + F.round(F.col("value") * 60)).cast("long").alias("e"))
+    return windows.covered_time(rows, "event_type", "s", "e")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern import catalog
-from quern.operators import duplicates, folds, graphs, retrieval, vectors
+from quern.operators import duplicates, folds, graphs, retrieval, vectors, windows
 from quern.sources import tables
 
 
@@ -92,6 +92,55 @@ def test_chains_are_followed_to_their_end(spark):
     assert sorted(r.id for r in found.collect()) == list(range(3, 71))
 
 
+def in_turns(edges):
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    labels, changed = {n: n for n in near}, True
+    while changed:
+        changed = False
+        for n in sorted(near):
+            counts = {}
+            for m in near[n]:
+                counts[labels[m]] = counts.get(labels[m], 0) + 1
+            best = min(counts, key=lambda x: (-counts[x], x))
+            if best != labels[n] and counts[best] >= counts.get(labels[n], 0):
+                labels[n], changed = best, True
+    groups = {}
+    for n, label in labels.items():
+        groups.setdefault(label, []).append(n)
+    return {n: (min(g), len(g)) for g in groups.values() for n in g}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_communities_as_in_turns(spark, seed):
+    rng = np.random.default_rng(seed)
+    # Groups with few links between them, a chain, and a repeated link.
+    edges = [(int(g * 10 + a), int(g * 10 + b)) for g in range(4) for a, b in rng.integers(0, 10, (18, 2))] + [(int(a), int(b)) for a, b in rng.integers(0, 40, (4, 2))]
+    edges += [(i, i + 1) for i in range(50, 58)] + [(50, 51), (70, 70)]
+    found = graphs.communities(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.id: (r.community_id, r.size) for r in found} == in_turns(edges)
+    assert len(found) == len({r.id for r in found}) and len({r.community_id for r in found}) > 1
+
+
+def test_covered_time_as_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, int(s), int(s + n)) for k in ("a", "b", None) for s, n in zip(rng.integers(0, 400, 40), rng.integers(0, 30, 40))] + [("a", None, 5), ("a", 9, 3), ("c", 7, 7), ("c", 0, 1000), ("c", 300, 301), ("c", 1001, 1002)]
+    df = spark.createDataFrame(rows, "k string, s long, e long")
+    for bucket in (10, 100, 10_000):
+        found = {r.k: tuple(r)[1:] for r in windows.covered_time(df, "k", "s", "e", bucket).collect()}
+        for k in ("a", "b", None, "c"):
+            own = sorted((s, e) for x, s, e in rows if x == k and s is not None and s <= e)
+            covered, reached, islands = 0, None, 0
+            for s, e in own:
+                islands += reached is None or s > reached
+                covered += max(0, e - (s if reached is None else max(s, reached)))
+                reached = e if reached is None else max(reached, e)
+            assert found[k] == (len(own), sum(e - s for s, e in own), covered, max(e for _, e in own) - own[0][0], islands)
+
+
 def test_minhash_in_batches():
     rng = np.random.default_rng(3)
     codes, a, b = rng.integers(0, duplicates.PRIME, 37), np.array([3, 5, 7]), np.array([11, 13, 17])

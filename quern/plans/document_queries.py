@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fulltext, graphs, ordered_copies, splitting, windows
+from ..operators import fulltext, graphs, markdown, ordered_copies, splitting, windows
 from ..sources.tables import table
 from .registry import query
 
@@ -97,3 +97,30 @@ def busy_time(spark, d):
     at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
     rows = table(spark, d, "events").where("value >= 0").select("event_type", at.alias("s"), (at + F.round(F.col("value") * 60)).cast("long").alias("e"))
     return windows.covered_time(rows, "event_type", "s", "e")
+
+
+_LINE = "'## Line ' || n || chr(10) || chr(10)"
+_TABLE = "'| part | quantity |' || chr(10) || '|---|---|' || chr(10) || '| ' || p || ' | ' || q || ' |'"
+
+
+@query(
+    "order_pages",
+    f"""WITH lines AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_quantity::BIGINT AS q FROM lineitem),
+    sized AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY n, p, q) AS i, length({_LINE}) AS heading, length({_TABLE}) AS body FROM lines),
+    heads AS (SELECT o, length('---' || chr(10) || 'order: ' || o || chr(10) || 'parts: [' || string_agg(p::VARCHAR, ', ' ORDER BY n, p, q) || ']' || chr(10) || '---' || chr(10)) AS front,
+              length('# Order ' || o) AS title, sum(heading + body + 2)::BIGINT AS rest, count(*) AS n_parts FROM sized GROUP BY o),
+    placed AS (SELECT s.*, front + title + 2 + coalesce(sum(heading + body + 2) OVER (PARTITION BY o ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM sized s JOIN heads USING (o))
+SELECT o AS order_key, 0::BIGINT AS position, 'heading' AS kind, 1 AS level, 'Order ' || o AS title, front AS char_start, front + title AS char_end, front + title + 2 + rest AS section_end, '' AS path, n_parts FROM heads
+UNION ALL SELECT o, 2 * i - 1, 'heading', 2, 'Line ' || n, place, place + heading - 2, place + heading + body + 2, 'Order ' || o, n_parts FROM placed JOIN heads USING (o)
+UNION ALL SELECT o, 2 * i, 'table', 0, '', place + heading, place + heading + body, place + heading + body, 'Order ' || o || ' > Line ' || n, n_parts FROM placed JOIN heads USING (o)""",
+)
+def order_pages(spark, d):
+    """Orders written as Markdown pages with front matter, and read back: blocks, sections and the titles above them."""
+    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_quantity").cast("long").alias("q"))
+    orders = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("order_key")).agg(F.array_sort(F.collect_list(line)).alias("lines"))  # an order has few lines
+    section = lambda x: F.concat(F.lit("## Line "), x["n"], F.lit("\n\n| part | quantity |\n|---|---|\n| "), x["p"], F.lit(" | "), x["q"], F.lit(" |\n\n"))
+    parts = F.array_join(F.transform("lines", lambda x: x["p"].cast("string")), ", ")
+    page = F.concat(F.lit("---\norder: "), "order_key", F.lit("\nparts: ["), parts, F.lit("]\n---\n# Order "), "order_key", F.lit("\n\n"), F.array_join(F.transform("lines", section), ""))
+    pages = markdown.settings(orders.select("order_key", page.alias("text")))
+    rows = markdown.outline(pages.withColumn("n_parts", F.size(F.col("settings")["parts"]).cast("long")).drop("settings"))
+    return rows.select("order_key", "position", "kind", "level", "title", "char_start", "char_end", "section_end", F.array_join("path", " > ").alias("path"), "n_parts")

@@ -10,12 +10,19 @@ STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "de", "der", "die"
 
 #: A name of up to 64 signs that begins with a letter or digit, labels of up to 63 without hyphens at their ends, and letters.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}"
+#: The same for Java's patterns: no sign of a name is an @, so nothing is found by giving signs back.
+EMAIL_ONCE = EMAIL.replace("{0,63}@", "{0,63}+@", 1)
 IPV4 = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
 PHONE = r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
 LONG_NUMBER = r"\b[0-9]{13,19}\b"
 SECRET = r"(password=[A-Za-z0-9]{8,}|token = \"[0-9a-f]{16,}\"|AKIA[0-9A-Z]{16})"
 
 
+def count_of(text: Column, pattern: str, sign: str) -> Column:
+    """How often a pattern is met; texts without a sign that every match holds are not searched. Null of null."""
+    return F.when(~F.contains(text, F.lit(sign)), F.lit(0)).otherwise(F.regexp_count(text, F.lit(pattern))).cast("long")
+
+
 def whitespace_normalised(text: Column) -> Column:
     """One space for each stretch of blanks in a line, no blanks around lines, at most one blank line."""
     lines = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]+", " ")

@@ -136,8 +136,8 @@ def distinct_shingles(spark, d):
     len(regexp_extract_all(text, '{tx.PHONE}'))::BIGINT AS n_phone, len(regexp_extract_all(text, '{tx.LONG_NUMBER}'))::BIGINT AS n_number FROM documents""",
 )
 def private_data_counts(spark, d):
-    counts = {"n_email": tx.EMAIL, "n_ip": tx.IPV4, "n_phone": tx.PHONE, "n_number": tx.LONG_NUMBER}
-    return table(spark, d, "documents").select("doc_id", *[F.regexp_count("text", F.lit(p)).cast("long").alias(n) for n, p in counts.items()])
+    counts = {"n_email": (tx.EMAIL_ONCE, "@"), "n_ip": (tx.IPV4, "."), "n_phone": (tx.PHONE, "+"), "n_number": (tx.LONG_NUMBER, "")}
+    return table(spark, d, "documents").select("doc_id", *[tx.count_of(F.col("text"), p, sign).alias(n) for n, (p, sign) in counts.items()])
 
 
 @query(
@@ -146,7 +146,7 @@ def private_data_counts(spark, d):
 )
 def private_data_scrubbed(spark, d):
     t: Column = F.col("text")
-    for pattern, mark in ((tx.EMAIL, "[EMAIL]"), (tx.LONG_NUMBER, "[NUMBER]"), (tx.PHONE, "[PHONE]")):
+    for pattern, mark in ((tx.EMAIL_ONCE, "[EMAIL]"), (tx.LONG_NUMBER, "[NUMBER]"), (tx.PHONE, "[PHONE]")):
         t = F.regexp_replace(t, pattern, mark)
     return table(spark, d, "documents").select("doc_id", F.md5(t).alias("digest"))
 

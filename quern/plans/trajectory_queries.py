@@ -1,9 +1,10 @@
-"""Queries of assertions over the order of events and turns."""
+"""Queries of assertions over the order of events and turns, and of differences whose rows come in clusters."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.resampling import ONE_BY_ONE, cluster_test, poisson_bounds
 from ..operators.trajectories import AtLeast, AtMost, Before, Followed, NoCycle, Only, checked
 from ..sources.tables import table
 from .registry import query
@@ -64,3 +65,33 @@ def turn_trajectories(spark, d):
     """Six assertions about the roles of each conversation's turns; failed_at is a turn."""
     rows = table(spark, d, "conversations").withColumn("tie", F.lit(0))
     return checked(rows, "conv_id", "turn", "tie", "role", TURN_RULES)
+
+
+def _cluster_sql(rows: str, unit: str, times: int) -> str:
+    """SQL of cluster_test over rows (c, v), with the same draws."""
+    u = {p: f"(('0x' || substr(sha256('{p}:' || r || ':' || s || ':' || m || ':' || j), 1, 12))::UBIGINT / 281474976710656.0)" for p in ("weight", "sign", "radius", "angle", "radius2", "angle2")}
+    z = lambda a, b: f"sqrt(-2 * ln(1 - {u[a]})) * cos(2 * pi() * {u[b]})"
+    alone = f"len(list_filter({poisson_bounds()}, lambda b: {u['weight']} >= b))"
+    return f"""SELECT '{unit}' AS unit, n_rows::BIGINT AS n_rows, n_clusters::BIGINT AS n_clusters, round(total / n_rows, 6) AS delta, low, high, round((far + 1) / {times + 1}, 6) AS p_value FROM
+    (SELECT any_value(n_rows) AS n_rows, any_value(n_clusters) AS n_clusters, any_value(total) AS total, quantile_disc(round(ws / nullif(wm, 0), 6), 0.025) AS low,
+    quantile_disc(round(ws / nullif(wm, 0), 6), 0.975) AS high, count(*) FILTER (WHERE abs(fs) >= abs(total) - 1e-9) AS far FROM
+    (SELECT r, sum(w * (s / 1e9)) AS ws, sum(w * m) AS wm, sum(f * (s / 1e9)) AS fs FROM (SELECT *, CASE WHEN n <= {ONE_BY_ONE} THEN {alone} ELSE greatest(round(n + sqrt(n) * {z('radius', 'angle')}), 0.0) END AS w,
+    CASE WHEN n > {ONE_BY_ONE} THEN 2 * least(greatest(round(n / 2.0 + sqrt(n) / 2 * {z('radius2', 'angle2')}), 0.0), n) - n WHEN {u['sign']} < 0.5 THEN 1.0 ELSE -1.0 END AS f FROM
+    (SELECT *, unnest(generate_series(1, CASE WHEN n <= {ONE_BY_ONE} THEN n ELSE 1 END)) AS j FROM (SELECT s, m, count(*) AS n FROM (SELECT round(sum(v) * 1e9)::BIGINT AS s, count(*) AS m FROM ({rows}) GROUP BY c) GROUP BY s, m),
+    (SELECT unnest(generate_series(0, {times - 1})) AS r))) GROUP BY r), (SELECT count(*) AS n_rows, count(DISTINCT c) AS n_clusters, sum(v)::DOUBLE AS total FROM ({rows})))"""
+
+
+_DELTAS = "(CASE WHEN length(text) >= 400 THEN 1 ELSE 0 END - CASE WHEN contains(text, chr(10)) THEN 1 ELSE 0 END) AS v FROM conversations WHERE role = 'assistant' AND text IS NOT NULL AND conv_id IS NOT NULL"
+
+
+@query(
+    "cluster_significance",
+    _cluster_sql(f"SELECT conv_id || '/' || turn AS c, {_DELTAS}", "turn", 2_000) + " UNION ALL " + _cluster_sql(f"SELECT conv_id AS c, {_DELTAS}", "conversation", 2_000),
+)
+def cluster_significance(spark, d):
+    """Two ways to score assistant turns, compared by turns and by whole conversations: what turns prove, conversations may not."""
+    long, lines = F.length("text") >= 400, F.contains("text", F.lit("\n"))
+    turns = table(spark, d, "conversations").where("role = 'assistant' AND text IS NOT NULL AND conv_id IS NOT NULL")
+    turns = turns.select("conv_id", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("turn"), (long.cast("int") - lines.cast("int")).alias("v"))
+    of = lambda c, unit: cluster_test(turns, c, "v").select(F.lit(unit).alias("unit"), "*")
+    return of("turn", "turn").unionByName(of("conv_id", "conversation"))

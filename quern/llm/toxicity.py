@@ -34,7 +34,7 @@ SEPARATORS = ".-_*~' "
 READ_AS, READ_SAME, READ_ONCE = 0.7, 6.0, 0.7
 #: What stands around a word, and what stands for all letters without case, so that trigrams are those of alphabets.
 EDGE, OTHER = "\0", "\1"
-#: Letters of a spaced-out word: shorter ones aren't told from chance, and of longer ones the first so many tell.
+#: Letters of a spaced-out word: shorter ones aren't told from chance; longer ones are looked for if longer words are learned.
 SPELLED = (3, 12)
 #: Labelled rows that word weights are learned from, about; chosen by a hash of the id, the same on every run.
 LABELLED = 20_000
@@ -48,6 +48,8 @@ SUSPECT = re.compile(
     rf"[^\W\d_][{SIGNS}]+[^\W\d_]|[{SIGNS}][^\W\d_]{{2}}|[^\W\d_]{{2}}[{SIGNS}]$|([^\W\d_])\1|[^\W\d_][.\-_*~][^\W\d_]"
     rf"|^(?:[\w{SIGNS}][{re.escape(SEPARATORS)}]+){{2,}}[\w{SIGNS}]$"
 )
+#: Signs with separators between them, as in i-d or i.d.i.
+SPELT = re.compile(rf"(?:[^\W_]|[{SIGNS}])(?:[{re.escape(SEPARATORS.strip())}]+(?:[^\W_]|[{SIGNS}]))+")
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "…«»“”‘’¡¿"
 
 
@@ -134,18 +136,28 @@ def features_of(readings_: set[str]) -> set[str]:
     return readings_ | {f"{w[:k]}-" for w in readings_ for k in STEMS if len(w) > k}
 
 
-def spaced(words: list[str]) -> set[str]:
-    """Parts of stretches of single signs (or single ones in quotes, before a full stop and so on), joined by blanks.
+def signs_of(word: str) -> str:
+    """The signs of a word that is one sign or signs with separators between them, without quotes and the like around it."""
+    if len(word) == 1:
+        return word
+    plain = word.strip(EDGES)
+    if len(plain) == 1:
+        return plain
+    return "".join(c for c in plain if c not in SEPARATORS) if SPELT.fullmatch(plain) else ""
+
+
+def spaced(words: list[str], signs: dict[str, str], most: int) -> set[str]:
+    """Parts of stretches of single signs, joined by blanks; signs: those of each distinct word that has any.
 
-    A stretch may hold other single letters before and after a spelled word, so each of its parts may be one.
+    A stretch may hold other single letters before and after a spelled word, so each of its parts of up to `most` signs
+    may be one.
     """
     out: set[str] = set()
     held: list[str] = []
-    least, most = SPELLED
+    least = SPELLED[0]
     for w in [*words, ""]:
-        sign = w if len(w) == 1 else w.strip(EDGES) if 1 < len(w) < 5 else ""
-        if len(sign) == 1:
-            held.append(sign)
+        if w in signs:
+            held.extend(signs[w])
         elif held:
             for at in range(len(held) - least + 1):
                 for end in range(at + least, min(len(held), at + most) + 1):
@@ -155,21 +167,27 @@ def spaced(words: list[str]) -> set[str]:
     return out
 
 
-def text_words(text: str) -> set[str]:
+def text_words(text: str, most: int = SPELLED[1]) -> set[str]:
     """Distinct words, and what may be spelled by spaced letters."""
     words = words_of(text)
     distinct = set(words)
-    if sum(map((1).__eq__, map(len, distinct))) > 1:
-        distinct |= spaced(words)
+    signs = {w: found for w in distinct if (len(w) == 1 or not w.isalnum()) and (found := signs_of(w))}
+    if sum(map(len, signs.values())) > 1:
+        distinct |= spaced(words, signs, most)
     return distinct
 
 
-def evidence(text: str, memo: Memo) -> tuple[float, float, float]:
+def longest(weights: dict[str, float]) -> int:
+    """Signs of the longest spaced-out word that can tell: a longer one is none of the words, and its first letters tell."""
+    return max([SPELLED[1], *(len(f) for f in weights if not f.endswith("-"))])
+
+
+def evidence(text: str, memo: Memo, most: int = SPELLED[1]) -> tuple[float, float, float]:
     """Of the telling words of a text: the largest log odds, the second largest, and the log of their number.
 
-    memo: gives the telling reading of a word and its log odds, or None.
+    memo: gives the telling reading of a word and its log odds, or None. most: signs of a spaced-out word.
     """
-    found = dict(filter(None, map(memo.__getitem__, text_words(text))))
+    found = dict(filter(None, map(memo.__getitem__, text_words(text, most))))
     if not found:
         return 0.0, 0.0, 0.0
     odds = sorted(found.values(), reverse=True)
@@ -339,9 +357,9 @@ def learn_words(
 
     @F.pandas_udf("a double, b double, c double")
     def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        memo = Memo(telling(model, weights), 1 << 17)
+        memo, most = Memo(telling(model, weights), 1 << 17), longest(weights)
         for texts in batches:
-            yield pd.DataFrame([evidence(t, memo) for t in texts], columns=["a", "b", "c"])
+            yield pd.DataFrame([evidence(t, memo, most) for t in texts], columns=["a", "b", "c"])
 
     rest = single.where("third = 0").select("y", told("t").alias("x")).select("y", "x.*").toPandas()
     rest = rest.sort_values(list(rest.columns), kind="stable")
@@ -354,11 +372,11 @@ def score(text: Column, scorer: Scorer) -> Column:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo = Memo(telling(scorer.model, scorer.weights), 1 << 18)
+        memo, most = Memo(telling(scorer.model, scorer.weights), 1 << 18), longest(scorer.weights)
         for texts in batches:
             out = []
             for t in texts:
-                logit = sum(w * x for w, x in zip(scorer.sums, (1.0, *evidence(t or "", memo))))
+                logit = sum(w * x for w, x in zip(scorer.sums, (1.0, *evidence(t or "", memo, most))))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))))
             yield pd.Series(out, dtype="float64")
 

@@ -175,6 +175,7 @@ def test_restores_disguised_words():
 
 @pytest.mark.parametrize("spelling", [
     "i d i o t", "a i d i o t", "i d i o t.", "y I D I O T a b", "\"i d i o t\"", "1 d 1 0 t", "id-iot", "i.diot", "id_io-t", "iddiot", "idioott", "iiidiooot", "1d10t!", "m o r o n s t u p i d i d i o t",
+    '"i" "d" "i" "o" "t"', "(i) (d) (i) (o) (t)", "'i', 'd', 'i', 'o', 't'", "i-d i-o t", "i.d i.o.t", "[i] d *i* o t...",
 ])
 def test_finds_words_however_spelled(spelling):
     counts: dict[str, int] = {}
@@ -191,6 +192,21 @@ def test_finds_words_however_spelled(spelling):
         assert toxicity.evidence(clean, memo) == (0.0, 0.0, 0.0), clean
 
 
+def test_finds_long_words_spelled():
+    """A spaced-out word of any length is found if it is learned, also among other single letters."""
+    word = "blockheadedness"
+    counts = {}
+    for w, n in {word: 50, "there": 90, "and": 100}.items():
+        padded = "\0\0" + w + "\0"
+        for i in range(len(padded) - 2):
+            counts[padded[i : i + 3]] = counts.get(padded[i : i + 3], 0) + n
+    weights = {word: 5.0}
+    memo = toxicity.Memo(toxicity.telling(toxicity.CharacterModel(counts), weights))
+    for text in (" ".join(word), f"there a {' '.join(word)} y and", ", ".join(word), " ".join(f"({c})" for c in word)):
+        assert toxicity.evidence(text, memo, toxicity.longest(weights))[0] == 5.0, text
+    assert toxicity.longest({"abc": 1.0, "stup-": 1.0}) == 12
+
+
 def test_scores_as_plain_version(spark):
     """Scores of a table against log odds, evidence and logistic sum that are computed word by word."""
     weights, sums = {"idiot": 5.0, "stup-": 3.0, "moron": 4.0}, (-4.0, 1.5, 0.5, 0.25)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -77,7 +77,10 @@ class CharacterModel:
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
     """For each stretch of equal signs of a word: what it may be read as, and at what cost."""
-    steps = []
+    return list(lattice_steps(word))
+
+
+def lattice_steps(word: str) -> Iterator[list[tuple[str, float]]]:
     for m in re.finditer(r"(?s)(.)\1*", word):
         sign, n = m[1], m.end() - m.start()
         if sign in LOOKS:
@@ -90,8 +93,40 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             reads = [(sign, READ_ONCE), (sign * 2, 0.0)]
         else:
             reads = [(sign * n, 0.0)]
-        steps.append(reads)
-    return steps
+        yield reads
+
+
+class Reach:
+    """Whether any path through a word's lattice can give one of some words, or begin with one of some stems.
+
+    Where none can, the likeliest path gives none of these features either, and the search for it is left out."""
+
+    def __init__(self, features: Iterable[str]):
+        self.stems = frozenset(f[:-1] for f in features if f.endswith("-"))
+        self.words = frozenset(f for f in features if not f.endswith("-"))
+        self.begun = frozenset(f[:k] for f in self.words | self.stems for k in range(len(f) + 1))
+
+    def __call__(self, word: str) -> bool:
+        if word[:1].isalpha() and word[:1] not in self.begun:
+            return False
+        states = {""}
+        for reads in lattice_steps(word):
+            after = set()
+            for state in states:
+                for read, _ in reads:
+                    now = state
+                    for letter in read:
+                        now += letter
+                        if now in self.stems:
+                            return True
+                        if now not in self.begun:
+                            break
+                    else:
+                        after.add(now)
+            states = after
+            if not states:
+                return False
+        return not states.isdisjoint(self.words)
 
 
 def restore(word: str, model: CharacterModel) -> str:
@@ -120,13 +155,13 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def readings(word: str, model: CharacterModel) -> set[str]:
-    """A word without the signs around it, as written and, if it looks disguised, as restored."""
+def readings(word: str, model: CharacterModel, reach: Reach | None = None) -> set[str]:
+    """A word without the signs around it, as written and, if it looks disguised (and may reach a feature), as restored."""
     plain = word.strip(EDGES)
     found = {plain} if plain else set()
     whole = word.strip("\"'.,:;?")
     for form in {plain, whole.rstrip("!|")}:
-        if form and SUSPECT.search(form):
+        if form and (reach is None or reach(form)) and SUSPECT.search(form):
             found.add(restore(form, model))
     return found
 
@@ -196,9 +231,13 @@ def evidence(text: str, memo: Memo, most: int = SPELLED[1]) -> tuple[float, floa
 
 def telling(model: CharacterModel, weights: dict[str, float]):
     """The function of a word that evidence() needs."""
+    reach = Reach(weights)
 
     def told(word: str) -> tuple[str, float] | None:
-        found = [(weights[f], f) for f in features_of(readings(word, model)) if f in weights]
+        plain = word.strip(".,")
+        if plain.isalpha() and plain not in weights and not any(plain[:k] + "-" in weights for k in STEMS) and not reach(plain):
+            return None
+        found = [(weights[f], f) for f in features_of(readings(word, model, reach)) if f in weights]
         if not found:
             return None
         odds, feature = max(found)
@@ -324,7 +363,8 @@ def learn_words(
 
         def rows_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             nothing: frozenset[str] = frozenset()
-            memo = Memo(lambda w: frozenset(f for f in features_of(readings(w, model)) if kept is None or f in kept) or nothing, 1 << 17)
+            reach = None if kept is None else Reach(kept)
+            memo = Memo(lambda w: frozenset(f for f in features_of(readings(w, model, reach)) if kept is None or f in kept) or nothing, 1 << 17)
             counts: dict[str, list[int]] = {"": [0, 0]}
             for batch in batches:
                 for t, y in zip(batch["t"], batch["y"]):

@@ -192,6 +192,29 @@ def test_finds_words_however_spelled(spelling):
         assert toxicity.evidence(clean, memo) == (0.0, 0.0, 0.0), clean
 
 
+def test_leaves_out_only_searches_that_find_nothing():
+    """Features by readings with and without Reach are the same, for words made of parts of the features."""
+    rng = random.Random(4)
+    counts = {}
+    for w in ["idiot", "stupid", "moron", "letter", "good"] * 20:
+        padded = "\0\0" + w + "\0"
+        for i in range(len(padded) - 2):
+            counts[padded[i : i + 3]] = counts.get(padded[i : i + 3], 0) + 1
+    model = toxicity.CharacterModel(counts)
+    weights = {"idiot": 5.0, "stup-": 4.0, "moron": 3.0, "stupi-": 2.0, "good": 1.0}
+    reach, n = toxicity.Reach(weights), 0
+    for _ in range(4000):
+        word = "".join(rng.choice([c, c, c, c * 2, c * 3, c + rng.choice(".-_"), {"i": "1", "o": "0", "t": "7", "s": "$"}.get(c, c), ""]) for c in rng.choice(["idiot", "stupid", "moron", "stupor", "letter", "good", "idle", "idiotic"]))
+        told = [{f for f in toxicity.features_of(toxicity.readings(word, model, r)) if f in weights} for r in (None, reach)]
+        assert told[0] == told[1], word
+        n += bool(told[0])
+        memo = toxicity.Memo(toxicity.telling(model, weights))
+        for form in (word, f"${word[1:]}", f"{word},", f"({word})!"):
+            wanted = max(((weights[f], f) for f in toxicity.features_of(toxicity.readings(form, model)) if f in weights), default=None)
+            assert memo[form] == (wanted and (wanted[1].rstrip("-"), wanted[0])), form
+    assert 500 < n < 3500
+
+
 def test_finds_long_words_spelled():
     """A spaced-out word of any length is found if it is learned, also among other single letters."""
     word = "blockheadedness"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -100,21 +103,117 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(0.0))
 
 
-def nearest(df: DataFrame, queries: DataFrame, n: int, key: str = "vec_id", vector: str = "embedding", block: int = 2_000) -> DataFrame:
+#: What a product of unit vectors may differ from the cosine, and rounding to six places moves it, at most.
+SLACK = 2e-6
+
+
+def _matrix(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, shorter ones filled up with zeros, and their lengths; those that are null or hold nulls: zeros and -1."""
+    own = vectors.combine_chunks()
+    cells = own.flatten()
+    sizes = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = pc.fill_null(cells, 0).to_numpy(zero_copy_only=False)
+    lacking = pc.is_null(own).to_numpy(zero_copy_only=False).copy()
+    lacking[row[pc.is_null(cells).to_numpy(zero_copy_only=False)]] = True
+    out[lacking] = 0
+    return out, np.where(lacking, -1, sizes)
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each row of both, added up place by place as `dot` does, so that all bits are the same."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * b[:, i]
+    return out
+
+
+def _units(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors, norms, and which rows have none that products can be trusted with (unit: zero); zero vectors have zero."""
+    norm = np.sqrt(_dots(v, v))
+    plain = (norm > 1e-140) & (norm < 1e140)
+    return np.where(plain[:, None], v / np.where(plain, norm, 1.0)[:, None], 0.0), norm, ~plain & v.any(axis=1)
+
+
+def _first(query: np.ndarray, row: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+    """Which of the scored rows may be among the n best of their query once scores are rounded; of equal scores, n rows."""
+    high = np.where(np.isnan(score), np.inf, score)  # as Spark sorts it
+    order = np.lexsort((row, -high, query))
+    query, high = query[order], high[order]
+    at = np.arange(len(order))
+    new_query = np.append(True, query[1:] != query[:-1])[: len(order)]
+    new_score = new_query | np.append(True, high[1:] != high[:-1])[: len(order)]
+    begun = np.maximum.accumulate(np.where(new_query, at, 0))
+    same = at - np.maximum.accumulate(np.where(new_score, at, 0))
+    last = np.minimum(begun + n - 1, len(order) - 1)
+    bar = np.where(query[last] == query, high[last], -np.inf)
+    return order[(same < n) & (high >= bar - SLACK)] if len(order) else order
+
+
+def _nearest_of_block(n: int, key: str, some_rows: int = 2_048, some_asked: int = 512):
+    """(rows, asked) -> (query_id, key, score): what may be among the n nearest of each query asked, its cosine not rounded.
+
+    Products of matrices tell which rows can be; only those get the cosine added up in order.
+    """
+
+    def best(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows.column("k")))
+        keys, ids = rows.column("k").combine_chunks(), asked.column("q").combine_chunks()
+        (v, size), (w, wanted) = _matrix(rows.column("v")), _matrix(asked.column("v"))
+        width = max(v.shape[1], w.shape[1])
+        v, w = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (v, w))
+        plain_keys, plain_ids = keys.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
+        # The query itself is none of its neighbours.
+        low, high = np.searchsorted(plain_keys, plain_ids, "left"), np.searchsorted(plain_keys, plain_ids, "right")
+        with np.errstate(all="ignore"):
+            (unit, norm, odd), (unit_w, norm_w, odd_w) = _units(v), _units(w)
+            told = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for q in range(0, len(w), some_asked):
+                bar = np.full(len(w[q : q + some_asked]), -np.inf)
+                for r in range(0, len(v), some_rows):
+                    close = unit_w[q : q + some_asked] @ unit[r : r + some_rows].T
+                    strange = odd_w[q : q + some_asked, None] | odd[r : r + some_rows]
+                    close[strange] = -3
+                    own, other = size[r : r + some_rows], wanted[q : q + some_asked, None]
+                    close[(own != other) & (own > 0) & (other > 0)] = -3
+                    place = np.arange(r, r + close.shape[1])
+                    close[(place >= low[q : q + some_asked, None]) & (place < high[q : q + some_asked, None])] = -9
+                    if close.shape[1] >= n:
+                        bar = np.maximum(bar, np.partition(close, -n, axis=1)[:, -n])
+                    i, j = np.nonzero(((close >= (bar - SLACK)[:, None]) | strange) & (close > -9))
+                    i, j = i + q, j + r
+                    norms = norm_w[i] * norm[j]
+                    score = np.where(norms <= 0, 0.0, _dots(w[i], v[j]) / norms)
+                    score[(size[j] != wanted[i]) & ~(norms <= 0)] = -np.inf  # null
+                    score[(size[j] < 0) | (wanted[i] < 0)] = 0.0
+                    first = _first(i, j, score, n)
+                    told.append((i[first], j[first], score[first]))
+            i, j, score = (np.concatenate(x) for x in zip(*told))
+            first = _first(i, j, score, n)
+        i, j, score = i[first], j[first], score[first]
+        return pa.table({"query_id": ids.take(pa.array(i)), key: keys.take(pa.array(j)), "score": pa.array(score, mask=np.isneginf(score))})
+
+    return best
+
+
+def nearest(df: DataFrame, queries: DataFrame, n: int, key: str = "vec_id", vector: str = "embedding", block: int = 2_000, cells: int = 1 << 20) -> DataFrame:
     """(query_id, key, score, rank): the n most similar rows of each stated query, exactly.
 
-    Queries are taken in blocks of bounded size; each block is broadcast to the rows, and every task keeps its best n
-    of a query before the shuffle.
+    Every query meets every row, in blocks of up to about `block` queries and rows of `cells` numbers: a task holds one
+    pair of blocks, and the best n of a query leave it. Scores are those of `cosine` to the last bit; vectors of other
+    lengths than a query's come last, with null.
     """
-    asked = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q"))
-    blocks = max(1, -(-asked.count() // block))
-    out = None
-    for i in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        rows = df.select(F.col(key), F.col(vector).alias("v")).join(F.broadcast(part), F.col(key) != F.col("query_id"))
-        found = ranked(rows.select("query_id", key, F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")), key, n)
-        out = found if out is None else out.union(found)
-    return out
+    kind = lambda of, name: of.schema[name].dataType.simpleString()
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    asked = queries.where(F.col(key).isNotNull()).select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    count, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    down, across = max(1, -(-count * max(width or 1, 1) // cells)), max(1, -(-asked.count() // block))
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    rows = rows.select(F.pmod(F.xxhash64("k"), F.lit(down)).cast("int").alias("i"), every(across).alias("j"), "k", "v")
+    asked = asked.select(every(down).alias("i"), F.pmod(F.xxhash64("q"), F.lit(across)).cast("int").alias("j"), "q", "v")
+    met = rows.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInArrow(_nearest_of_block(n, key), f"query_id {kind(queries, key)}, `{key}` {kind(df, key)}, score double")
+    return ranked(met.withColumn("score", F.round("score", 6)), key, n)
 
 
 def rank_metrics(found: DataFrame, wanted: DataFrame, k: int, key: str = "doc_id") -> DataFrame:

@@ -158,3 +158,18 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         tables.shared_folder(Session())
+
+
+def test_nearest_in_blocks_is_the_cosine_of_every_pair(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, (r.integers(-3, 4, 8).astype(float) if i % 2 else r.normal(size=8)).tolist()) for i in range(300)] + [(1000 + i, [0.5] * 8) for i in range(60)]
+    rows += [(400, None), (401, [0.0] * 8), (402, [float("nan")] * 8), (403, [float("inf")] + [1.0] * 7), (404, [None] + [1.0] * 7), (405, [1.0] * 3), (406, []), (407, [1e200] * 8)]
+    df = spark.createDataFrame([*rows, (None, [1.0] * 8)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 50 = 0 or vec_id between 398 and 410")
+    pairs = df.alias("v").join(asked.alias("q"), F.col("v.vec_id") != F.col("q.vec_id"))
+    scores = pairs.select(F.col("q.vec_id").alias("query_id"), F.col("v.vec_id"), F.round(retrieval.cosine(F.col("q.embedding"), F.col("v.embedding")), 6).alias("score"))
+    for n, block, cells in ((1, 2_000, 1 << 20), (7, 5, 300), (400, 2_000, 2_000)):
+        told = [{(r.query_id, r["rank"]): (r.vec_id, str(r.score)) for r in x.collect()} for x in (retrieval.nearest(df, asked, n, block=block, cells=cells), retrieval.ranked(scores, "vec_id", n))]
+        assert told[0] == told[1]
+    plan = retrieval.nearest(df, asked, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan

@@ -67,3 +67,11 @@ def test_documents_and_empty_tables(spark):
     found = {r.doc_id: r.kept for r in ordered_copies.keep_earliest(df).collect()}
     assert found == dict(zip([k for k, _ in rows], sequential(rows, 0.9)))
     assert ordered_copies.keep_earliest(df.limit(0)).count() == 0
+
+
+def test_frequent_words_of_different_texts_cost_no_rounds(spark, monkeypatch):
+    n, calls = 34, []
+    monkeypatch.setattr(ordered_copies, "written", lambda df, write=ordered_copies.written: calls.append(1) or write(df))
+    df = spark.createDataFrame([(n * i + j, f"r{i} c{j}") for i in range(n) for j in range(n)] + [(5000, "c0 r0")], "doc_id long, text string")
+    found = {r.doc_id: r.kept for r in ordered_copies.keep_earliest(df).collect()}
+    assert found == {i: i != 5000 for i in [*range(n * n), 5000]} and len(calls) < 12

@@ -188,7 +188,7 @@ def suffix_ranks(streams: list[np.ndarray], run: int = RUN) -> tuple[np.ndarray,
     k = 1
     while k < run:
         second = np.zeros(total, np.int64)
-        second[: total - k] = rank[k:] + 1
+        second[: max(total - k, 0)] = rank[k:] + 1
         rank = np.unique(rank * (total + 2) + second, return_inverse=True)[1]
         k *= 2
     return rank, owner, left

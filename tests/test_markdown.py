@@ -104,3 +104,8 @@ def test_rows(spark):
     assert all(TEXT[r.char_start : r.char_end] == r.chunk for r in found)
     told = {r.id: r.settings for r in markdown.settings(df).collect()}
     assert told[1]["groups"] == ["staff", "ops"] and told[2] == told[3] == {}
+
+
+def test_texts_are_read_once(spark):
+    rows = markdown.outline(spark.range(3).selectExpr("id", "'# A' AS text"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("read(") == 1 and rows.count() == 3

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 
 from ..functions import text as tx
 from ..operators import retrieval, vectors
-from ..sources.tables import table
+from ..sources.tables import table, written
 from .registry import query
 from .retrieval_queries import QUERIES, SQL, VALUES, _queries, _terms_sql
 
@@ -32,6 +32,7 @@ def tfidf_cosine(spark, d):
     """Cosine of the query and each text, weighted by sublinear tf and smoothed idf."""
     documents = table(spark, d, "documents")
     counts = documents.select("doc_id", F.explode(tx.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg((1 + F.log(F.count("*"))).alias("w"))
+    counts = written(counts)  # read for weights, norms and products; the texts are cut into terms once
     size = documents.agg(F.count("*").alias("n"))
     weight = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     rows = counts.join(weight, "term").select("doc_id", "term", (F.col("w") * F.col("idf")).alias("x"), "idf")

@@ -37,3 +37,11 @@ def test_query(spark, duck, name):
     theirs = rows_of(columns, said.fetchall())
     assert len(mine) == len(theirs)
     assert mine == theirs
+
+
+def test_tfidf_cosine_counts_terms_once(spark, monkeypatch):
+    from quern.plans import search_queries
+
+    calls = []
+    monkeypatch.setattr(search_queries, "written", lambda df, write=search_queries.written: calls.append(df.columns) or write(df))
+    assert search_queries.tfidf_cosine(spark, SF).count() > 0 and calls == [["doc_id", "term", "w"]]

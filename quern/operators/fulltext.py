@@ -13,23 +13,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import written
+from ..sources.tables import pieces, written
 
 #: Words are of ASCII letters (made lower) and digits, and of all signs beyond ASCII.
 BETWEEN = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 #: Parts that one term's rows are dealt to, so that the most frequent term fills no task.
 DEALT = 32
+#: Signs of text, and places of a search, that one task holds, about.
+SIGNS, PLACES = 8_000_000, 500_000
 
 Clause = tuple[str, str]
 
 
 def positions(df: DataFrame, key: str = "doc_id", text: str = "text", salt: int = DEALT) -> DataFrame:
     """The index (term, key, places) of whole texts, sorted by term; places are counted from 1. Null texts have no terms."""
-    words = F.filter(F.split(F.lower(F.col(text)), BETWEEN), lambda w: w != "")
-    rows = df.select(F.col(key), F.posexplode(words).alias("at", "term"))
-    # Within a document: a document's rows come from one task, so most of the grouping is done before the shuffle.
+    n = pieces(df.sparkSession, df.agg(F.sum(F.length(text))).first()[0], SIGNS)
+    words = F.filter(F.split(F.lower(F.col("text")), BETWEEN), lambda w: w != "")
+    # Texts are dealt by document, so that a task groups the words of its share without another shuffle.
+    texts = df.select(F.col(key), F.col(text).alias("text")).repartition(n, key)
+    rows = texts.select(F.col(key), F.posexplode(words).alias("at", "term"))
     index = rows.groupBy("term", key).agg(F.array_sort(F.collect_list((F.col("at") + 1).cast("long"))).alias("places"))
-    dealt = index.repartitionByRange(F.col("term"), F.pmod(F.xxhash64(key), F.lit(salt)))
+    dealt = index.repartitionByRange(n, F.col("term"), F.pmod(F.xxhash64(key), F.lit(max(salt, n))))
     return written(dealt.sortWithinPartitions("term"))
 
 
@@ -59,6 +63,10 @@ def search(index: DataFrame, searches: list[tuple[int, list[Clause]]], key: str
     ranges = reduce(lambda a, b: a | b, [_range(w) for w in wanted]) if wanted else F.lit(False)
     told = F.array(*[F.when(_range(w), F.lit(w)) for w in wanted]) if wanted else F.array(F.lit("")).cast("array<string>")
     hits = index.where(ranges).select(key, "places", F.explode(F.filter(told, lambda w: w.isNotNull())).alias("word"))
+    # Hits are dealt by document, all of whose places meet in one task; a task has about as many on larger tables.
+    times = asked.groupBy("word").agg(F.count("*").alias("parts"))
+    total = hits.join(F.broadcast(times), "word").agg(F.sum(F.size("places") * F.col("parts"))).first()[0]
+    hits = hits.repartition(pieces(index.sparkSession, total, PLACES), key)
     hits = hits.join(F.broadcast(asked), "word")  # a row for each word of the stated searches
     shifted = hits.select("query_id", "clause", "kind", "n", key, "j", F.explode("places").alias("at"))
     # Places of one word of a clause are few in a document; words with one beginning may meet at one place once only.

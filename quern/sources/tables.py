@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -12,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pieces(spark: SparkSession, amount: int | None, each: int) -> int:
+    """Into how many partitions to deal so that one gets about `each` of the amount: a task stays as small on larger tables."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((amount or 0) / each))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see. A session in one process may do without: it gets one of its own."""
     root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)

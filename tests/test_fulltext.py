@@ -42,3 +42,14 @@ def test_a_beginning_is_a_range_that_the_scan_prunes(spark):
     index = fulltext.positions(spark.createDataFrame([(1, "alpha beta")], "doc_id long, text string"), "doc_id", "text")
     plan = fulltext.search(index, [(1, [("must", "al*")])])._jdf.queryExecution().toString()
     assert "PushedFilters: [" in plan and "StringStartsWith(term,al)" in plan
+
+
+def test_shares_of_a_task_do_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(fulltext, "SIGNS", 100)
+    monkeypatch.setattr(fulltext, "PLACES", 100)
+    rows = [(i, "a b " * 25) for i in range(40)]
+    index = fulltext.positions(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert len(index.inputFiles()) > 20  # 4,000 signs, in terms that all documents have
+    found = fulltext.search(index, [(1, [("must", "a b")])])
+    assert {(r.doc_id, r.n_matches) for r in found.collect()} == {(i, 25) for i in range(40)}
+    assert found.rdd.getNumPartitions() == 20  # 2,000 places

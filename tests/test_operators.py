@@ -77,6 +77,31 @@ def test_minhash_groups_as_brute_force(spark, size):
     assert all(low[i] == found[i].component_id for i in linked)
 
 
+def test_minhash_moves_hashes_and_what_can_be_similar(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(300)]
+    # Sets that share a third of their shingles meet in bands, and few of them can be similar.
+    docs = [(i, " ".join(base[:180] + [f"x{rng.randrange(10**6)}" for _ in range(120)])) for i in range(60)]
+    docs += [(100 + i, t + " end") for i, t in docs[:3]] + [(200, docs[5][1])]
+    seen = []
+    monkeypatch.setattr(duplicates, "written", lambda df, write=duplicates.written: seen.append(write(df)) or seen[-1])
+    found = duplicates.minhash_pairs(spark.createDataFrame(docs, "id int, t string"), "id", "t", 0.8, bands=64, rows=1).collect()
+    assert {(r.a, r.b) for r in found} == {(i, 100 + i) for i in range(3)}
+    assert not any("string" in kind for df in seen for _, kind in df.dtypes)
+    compared = [df.count() for df in seen if df.columns == ["a", "b", "n"]]
+    assert len(compared) == 2 and compared[1] < 100
+
+
+def test_sketches_differ_in_no_more_than_sets():
+    rng = random.Random(6)
+    for n in (1, 30, 400, 3000):
+        one = {rng.randrange(duplicates.PRIME) for _ in range(n)}
+        other = set(list(one)[: n // 2]) | {rng.randrange(duplicates.PRIME) for _ in range(n // 3)}
+        bits = [duplicates._sketch(duplicates.np.array(sorted(s), dtype=int)) for s in (one, other)]
+        differ = sum(bin(int(x) & (2**64 - 1)).count("1") for x in bits[0] ^ bits[1]) if other else 0
+        assert differ <= len(one ^ other) and (n != 30 or differ > 10)
+
+
 def test_as_of_and_islands(spark):
     rng = random.Random(2)
     left = [(i, rng.randrange(5), rng.randrange(100)) for i in range(60)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fulltext, graphs, markdown, ordered_copies, splitting, windows
-from ..sources.tables import table
+from ..sources.tables import pieces, table
 from .registry import query
 
 
@@ -76,13 +76,29 @@ def phrase_search(spark, d):
     return fulltext.search(index, SEARCHES, "doc_id")
 
 
+#: Lines, and pairs of parts, that one task holds, about.
+LINES, PAIRS = 500_000, 1_000_000
+
+
+def ordered_together(rows):
+    """(a, b, count): in how many orders two parts, a < b, stand together; rows: (l_orderkey, l_partkey).
+
+    Neither lines nor pairs are added up before they are dealt: hardly any two are equal there, so a table of a whole
+    split would hold them all.
+    """
+    rows = rows.where("l_orderkey is not null and l_partkey is not null")
+    lines = rows.repartition(pieces(rows.sparkSession, rows.count(), LINES), "l_orderkey").distinct()
+    size = F.col("count").cast("double")
+    total = lines.groupBy("l_orderkey").count().agg(F.sum(size * (size - 1) / 2)).first()[0]
+    pairs = lines.withColumnRenamed("l_partkey", "a").join(lines.withColumnRenamed("l_partkey", "b"), "l_orderkey").where("a < b").select("a", "b")
+    return pairs.repartition(pieces(rows.sparkSession, total, PAIRS), "a", "b").groupBy("a", "b").count()
+
+
 @query("part_communities")
 def part_communities(spark, d):
     """Communities of parts that were ordered together more than once."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    # An order has few lines, so its pairs are few.
-    pairs = lines.withColumnRenamed("l_partkey", "a").join(lines.withColumnRenamed("l_partkey", "b"), "l_orderkey").where("a < b")
-    return graphs.communities(pairs.groupBy("a", "b").count().where("count >= 2"))
+    pairs = ordered_together(table(spark, d, "lineitem").select("l_orderkey", "l_partkey"))
+    return graphs.communities(pairs.where("count >= 2"))
 
 
 @query(

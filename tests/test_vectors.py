@@ -173,3 +173,21 @@ def test_nearest_in_blocks_is_the_cosine_of_every_pair(spark):
         assert told[0] == told[1]
     plan = retrieval.nearest(df, asked, 7)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_pairs_of_orders_in_shares_that_do_not_grow(spark, monkeypatch):
+    from quern.plans import document_queries
+
+    monkeypatch.setattr(document_queries, "LINES", 10)
+    monkeypatch.setattr(document_queries, "PAIRS", 10)
+    rng = np.random.default_rng(4)
+    rows = [(int(o), int(p)) for o, p in zip(rng.integers(0, 40, 160), rng.integers(0, 12, 160))] + [(1, 3), (1, 3), (None, 3), (None, 4), (2, None)]
+    pairs = document_queries.ordered_together(spark.createDataFrame(rows, "l_orderkey long, l_partkey long"))
+    plain = {}
+    for o in range(40):
+        own = sorted({p for x, p in rows if x == o and p is not None})
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                plain[a, b] = plain.get((a, b), 0) + 1
+    assert {(r.a, r.b): r["count"] for r in pairs.collect()} == plain
+    assert pairs.rdd.getNumPartitions() == -(-sum(plain.values()) // 10)
